@@ -1,3 +1,10 @@
 """A PySpark-native engine for multi-channel physiological recordings."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with the plan: the executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
