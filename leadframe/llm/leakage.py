@@ -99,10 +99,10 @@ def leaked_spans(
     docs = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     bound = item_rows.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"] / 2  # a word and what parts it
     if bound <= broadcast_ngrams:
-        shared = documents.sparkSession.sparkContext.broadcast(Passages([tuple(r) for r in item_rows.collect()], n))
+        shared = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in item_rows.collect()])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            passages = shared.value
+            passages = Passages(shared.value, n)
             for b in batches:
                 rows = []
                 for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadframe.llm import leakage, nearest
+from leadframe.llm import canonical, leakage, nearest
 from leadframe.sources.tables import table
 
 # Annotation codes that mark a beat.
@@ -36,6 +36,27 @@ SELECT least(x.ann_id, y.ann_id) AS ann_id_a, greatest(x.ann_id, y.ann_id) AS an
 FROM b x JOIN b y ON x.other = y.ann_id AND y.other = x.ann_id WHERE x.k = 1 AND y.k = 1 AND x.annotator = 'atr'"""
 
 
+def _label_map(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Channels whose label is typed otherwise than in the list, and what each typed label means."""
+    leads = table(spark, d, "lead_dim", "label_id", "label")
+    typed = table(spark, d, "header_table", "record_id", "number", "label").filter(F.trim("label") != "").distinct()
+    typed = typed.join(leads.select("label"), "label", "left_anti")
+    return typed, canonical.map_to_reference(typed, "label", leads, "label_id", "label", canonical.CHANNEL_WORDS, canonical.CHANNEL_NAMES)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    typed, meant = _label_map(spark, d)
+    both = typed.join(meant.withColumnRenamed("value", "label"), "label")
+    return both.select("record_id", "number", F.coalesce("label_id", F.lit(0)).cast("int").alias("label_id")).distinct()
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed labels that mean no entry, with the number of channels that have them."""
+    typed, meant = _label_map(spark, d)
+    none = meant.filter(F.col("label_id").isNull()).select(F.col("value").alias("label"))
+    return typed.join(none, "label").groupBy("label").agg(F.count(F.lit(1)).alias("channels"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "bench_items", "item_id", "text"))
 
@@ -58,6 +79,6 @@ ig AS (SELECT DISTINCT id, array_to_string(w[k:k + 12], ' ') AS g FROM i, unnest
 SELECT DISTINCT dg.id AS doc_id, CAST(ig.id AS INTEGER) AS item_id FROM dg JOIN ig USING (g)"""
 
 
-QUERIES = {"p1_found": p1_found, "p8_found": p8_found, "p8_clean": p8_clean}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p8_found": p8_found, "p8_clean": p8_clean}
 
 SQL = {"p1_found": P1_FOUND_SQL, "p8_found": P8_FOUND_SQL}
