@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadframe.llm import canonical, leakage, nearest
+from leadframe.llm import canonical, leakage, mixing, nearest, pii
 from leadframe.sources.tables import table
 
 # Annotation codes that mark a beat.
@@ -79,6 +79,29 @@ ig AS (SELECT DISTINCT id, array_to_string(w[k:k + 12], ' ') AS g FROM i, unnest
 SELECT DISTINCT dg.id AS doc_id, CAST(ig.id AS INTEGER) AS item_id FROM dg JOIN ig USING (g)"""
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p8_found": p8_found, "p8_clean": p8_clean}
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is taken."""
+    docs = mixing.with_tokens(table(spark, d, "documents", "doc_id", "source", "text"))
+    return mixing.mix(docs, table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares actually reached."""
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.spans(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "pii_kind", "start_char").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with placeholders for personal information."""
+    return pii.redacted(table(spark, d, "documents", "doc_id", "text").distinct())
+
+
+QUERIES = {
+    "p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_redacted": p10_redacted,
+}
 
 SQL = {"p1_found": P1_FOUND_SQL, "p8_found": P8_FOUND_SQL}
