@@ -8,9 +8,9 @@ that meet per key are the summaries. The result is exactly that of the plain win
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 _COMBINE = {"max": F.greatest, "min": F.least}
@@ -65,3 +65,38 @@ def _combine(df: DataFrame, carry: DataFrame, keys: Sequence[str], chunk: str, a
     else:
         out = _COMBINE[agg](F.col("_local"), F.col("_carry"))
     return both.withColumn(name, out).drop("_local", "_carry")
+
+
+def ranked(df: DataFrame, keys: Sequence[str], position: str, chunk_width: int = 1 << 16) -> DataFrame:
+    """Distinct rows with ``rank``, their number within the key from 0, by ``position`` and then the other columns."""
+    rest = [F.col(c) for c in df.columns if c not in (*keys, position)]
+    r = df.withColumn("_chunk", F.floor(F.col(position) / chunk_width)).repartition(*keys, "_chunk").distinct()
+    return running(r, keys, "_chunk", [F.col(position), *rest], F.lit(1), "sum", "rank").drop("_chunk")
+
+
+def blocks(df: DataFrame, keys: Sequence[str], position: str, margin: int, block: int = 1 << 15) -> DataFrame:
+    """Distinct rows with ``rank``, ``_b`` (their block) and ``_block`` (each block they go to: their own, and a
+    neighbour's whose margin they are in). Windows that reach no further than ``margin`` rows do not depend on ``block``."""
+    if margin > block:
+        raise ValueError("a block must be at least as long as the margin")
+    r = ranked(df, keys, position).withColumn("_b", F.floor(F.col("rank") / block))
+    at = F.col("rank") % block
+    copies = F.array_compact(
+        F.array(F.col("_b"), F.when((at < margin) & (F.col("_b") > 0), F.col("_b") - 1), F.when(at >= block - margin, F.col("_b") + 1))
+    )
+    return r.withColumn("_block", F.explode(copies))
+
+
+def over_blocks(
+    df: DataFrame, keys: Sequence[str], position: str, margin: int, columns: Callable[[WindowSpec], dict[str, Column]], block: int = 1 << 15
+) -> DataFrame:
+    """Distinct rows of ``df`` with window columns whose frames reach at most ``margin`` rows to either side.
+
+    ``columns`` gets a window over (key, block) in order of ``position``; later columns may use earlier ones, their
+    reaches then add up. A key of any length is spread over as many tasks as it has blocks.
+    """
+    out = blocks(df, keys, position, margin, block)
+    w = Window.partitionBy(*keys, "_block").orderBy("rank")
+    for name, c in columns(w).items():
+        out = out.withColumn(name, c)
+    return out.filter(F.col("_b") == F.col("_block")).drop("_b", "_block", "rank")

@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadframe.operators.chunked import running
+from leadframe.operators.chunked import blocks
 from leadframe.operators.durable import durable
 
-#: Samples per chunk while ranking, readings per block while scanning.
-CHUNK = 1 << 16
+#: Readings per block.
 BLOCK = 1 << 15
 
 
@@ -82,31 +81,6 @@ def hampel(x: np.ndarray, half: int, sigmas: float, floor: float) -> np.ndarray:
         return np.abs(x - median) > np.maximum(sigmas * 1.4826 * mad, floor)
 
 
-def ranked(df: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:
-    """Distinct non-null readings (keys, position, value) with ``rank``, their number within the source from 0."""
-    r = (
-        df.filter(F.col(value).isNotNull() & F.col(position).isNotNull())
-        .select(*keys, position, value)
-        .withColumn("_chunk", F.floor(F.col(position) / CHUNK))
-        .repartition(*keys, "_chunk")
-        .distinct()
-    )
-    return running(r, keys, "_chunk", [F.col(position), F.col(value)], F.lit(1), "sum", "rank").drop("_chunk")
-
-
-def blocks(df: DataFrame, keys: Sequence[str], position: str, value: str, margin: int, block: int = BLOCK) -> DataFrame:
-    """Readings with ``rank``, ``_b`` (their block) and ``_block`` (each block they go to: their own, and a neighbour's
-    whose margin they are in). Results over windows that reach no further than ``margin`` do not depend on ``block``."""
-    r = ranked(df, keys, position, value).withColumn("_b", F.floor(F.col("rank") / block))
-    at = F.col("rank") % block
-    copies = F.array_compact(
-        F.array(
-            F.col("_b"), F.when((at < margin) & (F.col("_b") > 0), F.col("_b") - 1), F.when(at >= block - margin, F.col("_b") + 1)
-        )
-    )
-    return r.withColumn("_block", F.explode(copies))
-
-
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -160,7 +134,8 @@ def scan(
         row = [pa.array(summary.get(f.name, [None]), f.type) for f in out.schema]
         return pa.concat_tables([out, pa.Table.from_arrays(row, schema=out.schema)])
 
-    return blocks(df, keys, position, value, margin, block).groupBy(*keys, "_block").applyInArrow(work, schema)
+    rows = df.filter(F.col(value).isNotNull() & F.col(position).isNotNull()).select(*keys, position, value)
+    return blocks(rows, keys, position, margin, block).groupBy(*keys, "_block").applyInArrow(work, schema)
 
 
 def implausible(
