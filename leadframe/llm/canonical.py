@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadframe.operators.durable import durable
+
 # What a word of a channel name stands for; "" for words that name no channel by themselves.
 CHANNEL_WORDS = {
     "LEAD": "", "LEADS": "", "ECG": "", "SURFACE": "", "LIMB": "", "CHEST": "", "PRECORDIAL": "", "BIPOLE": "", "BUNDLE": "", "CATHETER": "", "CATH": "",
@@ -121,7 +123,8 @@ def map_to_reference(
 
     ``words`` says what words stand for ("": nothing by themselves), ``names`` gives further whole names of entries by
     their text. The reference may be of any size. Among entries of equal score the smaller id is taken. Blank values and
-    values of unweighted words alone mean no entry; so does everything if the reference is empty.
+    values of unweighted words alone mean no entry; so does everything if the reference is empty. Distinct values, their
+    tokens and the reference's index are kept in the checkpoint folder, as each is read several times.
     """
     spark = values.sparkSession
     words, names = dict(words or {}), dict(names or {})
@@ -130,23 +133,25 @@ def map_to_reference(
     more = spark.createDataFrame([(k, v) for k, v in names.items()] or [("", "")], "name string, text string").filter("name <> ''")
     listed = entries.select("id", "text", F.col("text").alias("name")).unionByName(entries.join(more, "text").select("id", "text", "name"))
     listed = listed.select("id", "name", _tokens("name").alias("tokens"))
+    listed = durable(listed)
     bag_of = listed.select("id", "name", F.explode(F.array_distinct("tokens")).alias("meaning"))
     n = entries.count()
     rarity = bag_of.groupBy("meaning").agg(F.count_distinct("id").alias("df")).select("meaning", F.log(1 + n / F.col("df")).alias("idf"))
     index = bag_of.join(rarity, "meaning")
     norms = index.groupBy("id", "name").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("entry_norm"))
-    index = index.join(norms, ["id", "name"])
+    index = durable(index.join(norms, ["id", "name"]))
+    rarity = index.select("meaning", "idf").distinct()
     # Vocabulary: the entries' own tokens, the words given, and entries written in one (their letters without blanks).
     given = spark.createDataFrame([(k, v) for k, v in words.items()] or [("", "")], "word string, meaning string").filter("word <> ''")
     own = bag_of.select(F.col("meaning").alias("word"), "meaning").distinct().join(given, "word", "left_anti")
-    vocabulary = own.unionByName(given)
+    vocabulary = durable(own.unionByName(given))
     joined = listed.select(F.filter("tokens", lambda t: t.rlike(r"^\p{L}+$")).alias("parts"))
     joined = joined.filter(F.size("parts") > 0).select(F.array_join("parts", "").alias("written"), "parts").dropDuplicates(["written"])
 
-    typed = values.select(F.col(value).alias("value")).filter(F.col("value").isNotNull()).distinct().withColumn("tokens", _tokens("value"))
+    typed = durable(values.select(F.col(value).alias("value")).filter(F.col("value").isNotNull()).distinct().withColumn("tokens", _tokens("value")))
     at = typed.select("value", F.posexplode("tokens").alias("pos", "token"))
-    read = repair(at.select("token").distinct(), vocabulary)
-    seen = at.join(read, "token", "left").withColumn("unweighted", F.coalesce(F.col("meaning") == "", F.lit(False)))
+    read = repair(durable(at.select("token").distinct()), vocabulary)
+    seen = durable(at.join(read, "token", "left").withColumn("unweighted", F.coalesce(F.col("meaning") == "", F.lit(False))))
     plain = seen.filter(~F.col("unweighted")).select("value", F.lit(0).alias("way"), F.coalesce("meaning", "token").alias("meaning"), F.coalesce("closeness", F.lit(1.0)).alias("closeness"))
     # A second way to read a value: its letters together are an entry's, however they were parted.
     letters = seen.filter(~F.col("unweighted") & F.col("token").rlike(r"^\p{L}+$")).groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("written"))
@@ -155,7 +160,7 @@ def map_to_reference(
     second = together.withColumn("closeness", F.lit(1.0)).unionByName(numbers).withColumn("way", F.lit(1))
     bag = plain.unionByName(second).groupBy("value", "way", "meaning").agg(F.max("closeness").alias("closeness"))
     strange = F.lit(math.log(n + 1.0))  # a token of no entry is as rare as can be
-    bag = bag.join(rarity, "meaning", "left").withColumn("idf", F.coalesce("idf", strange))
+    bag = durable(bag.join(rarity, "meaning", "left").withColumn("idf", F.coalesce("idf", strange)))
     value_norm = bag.groupBy("value", "way").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("value_norm"))
     scored = (
         bag.drop("idf").join(index, "meaning")
