@@ -61,7 +61,7 @@ def apart(points: DataFrame, refractory: int, keys: Sequence[str] = KEYS) -> Dat
         F.array().cast("array<bigint>"),
         lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.get(acc, F.size(acc) - 1) + refractory), F.concat(acc, F.array(x.cast("bigint")))).otherwise(acc),
     )
-    return islands.select(*keys, F.explode(kept).cast("int").alias("sample"))
+    return islands.select(*keys, F.explode(kept).alias("sample")).withColumn("sample", F.col("sample").cast("int"))
 
 
 def intervals_between(points: DataFrame, keys: Sequence[str] = ("record_id",), name: str = "rr") -> DataFrame:

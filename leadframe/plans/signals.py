@@ -325,9 +325,9 @@ def time_range_halfopen(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_C}, p AS (SELECT record_id, number, label, row_number() OVER (PARTITION BY record_id ORDER BY number) AS at FROM c), q AS (SELECT * FROM (VALUES (0, 'V1'), (1, 'ii')) t(pick, name)), "
+    f"WITH {_C}, p AS (SELECT record_id, number, label, row_number() OVER (PARTITION BY record_id ORDER BY number) AS place FROM c), q AS (SELECT * FROM (VALUES (0, 'V1'), (1, 'ii')) t(pick, name)), "
     "n AS (SELECT q.pick, p.record_id, p.number, p.label, row_number() OVER (PARTITION BY record_id, pick ORDER BY p.label = q.name DESC, number) AS k FROM p JOIN q ON lower(p.label) = lower(q.name)) "
-    "SELECT record_id, pick, number, label FROM n WHERE k = 1 UNION ALL SELECT record_id, 2, number, label FROM p WHERE at = 1"
+    "SELECT record_id, pick, number, label FROM n WHERE k = 1 UNION ALL SELECT record_id, 2, number, label FROM p WHERE place = 1"
 )
 def channel_select_reorder(spark: SparkSession, d: str) -> DataFrame:
     return ch.select_channels(channels(spark, d), ["V1", "ii", 1]).select("record_id", "pick", "number", "label")
@@ -369,7 +369,8 @@ def physical_to_digital_clamped(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT record_id, sample, ii - i AS iii, -(i + ii) / 2 AS avr, i - ii / 2 AS avl, ii - i / 2 AS avf FROM signal_table WHERE i IS NOT NULL AND ii IS NOT NULL")
 def derived_leads(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "signal_table", "record_id", "sample", "i", "ii").dropna().distinct()
+    s = table(spark, d, "signal_table", "record_id", "sample", "i", "ii").distinct()
+    s = s.filter(F.col("i").isNotNull() & F.col("ii").isNotNull())
     return ch.derived_leads(s).select("record_id", "sample", "iii", "avr", "avl", "avf")
 
 
@@ -430,7 +431,7 @@ def channel_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH {_C}, {_LEADS}, {_PALETTE}, x AS (SELECT record_id, c.label, lead_group, min(number) AS f FROM c JOIN leads ON c.label = leads.label GROUP BY ALL), y AS (SELECT *, row_number() OVER (PARTITION BY record_id, lead_group ORDER BY f) - 1 AS i FROM x), "
-    "z AS (SELECT record_id, label, color FROM y JOIN palette USING (lead_group, i)) SELECT record_id, number, c.label, color FROM c LEFT JOIN z ON z.record_id = c.record_id AND z.label = c.label"
+    "z AS (SELECT record_id, label, color FROM y JOIN palette USING (lead_group, i)) SELECT c.record_id, number, c.label, color FROM c LEFT JOIN z ON z.record_id = c.record_id AND z.label = c.label"
 )
 def palette_assignment(spark: SparkSession, d: str) -> DataFrame:
     return ch.with_colors(channels(spark, d)).select("record_id", "number", "label", "color")
@@ -524,17 +525,17 @@ def find_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_G}, {_R} SELECT record_id, label, sample, round((-mv - 2 * coalesce(lag(mv, 1) OVER w, 0) + 2 * coalesce(lag(mv, 3) OVER w, 0) + coalesce(lag(mv, 4) OVER w, 0)) * frequency / 8, 4) AS slope FROM g JOIN r USING (record_id) WHERE abs(mv) < 50 WINDOW w AS ({_BY})"
+    f"WITH {_G}, {_R} SELECT record_id, label, sample, round((-mv - 2 * coalesce(lag(mv, 1) OVER w, 0) + 2 * coalesce(lag(mv, 3) OVER w, 0) + coalesce(lag(mv, 4) OVER w, 0)) * frequency / 8, 9) AS slope FROM g JOIN r USING (record_id) WHERE abs(mv) < 50 WINDOW w AS ({_BY})"
 )
 def derivative_fir(spark: SparkSession, d: str) -> DataFrame:
     s = rhythm.derivative(readings(spark, d).filter("abs(mv) < 50").join(rates(spark, d), "record_id"))
-    return s.select("record_id", "label", "sample", F.round("slope", 4).alias("slope"))
+    return s.select("record_id", "label", "sample", F.round("slope", 9).alias("slope"))
 
 
-@query(f"WITH {_G} SELECT record_id, label, sample, round(sum(mv) OVER (PARTITION BY record_id, label ORDER BY sample, mv ROWS BETWEEN 149 PRECEDING AND CURRENT ROW) / 150, 6) AS integral FROM g WHERE abs(mv) < 50")
+@query(f"WITH {_G} SELECT record_id, label, sample, round(sum(mv) OVER (PARTITION BY record_id, label ORDER BY sample, mv ROWS BETWEEN 149 PRECEDING AND CURRENT ROW) / 150 + 1e-10, 6) AS integral FROM g WHERE abs(mv) < 50")
 def moving_integration(spark: SparkSession, d: str) -> DataFrame:
     s = rhythm.moving_integral(readings(spark, d).filter("abs(mv) < 50"), "mv", 150)
-    return s.select("record_id", "label", "sample", F.round("integral", 6).alias("integral"))
+    return s.select("record_id", "label", "sample", F.round(F.col("integral") + 1e-10, 6).alias("integral"))
 
 
 _RISING = f"""{_G}, f AS (SELECT * FROM g WHERE abs(mv) < 50), k AS (SELECT *, lag(mv) OVER w AS p, lead(mv) OVER w AS n FROM f WINDOW w AS ({_BY})),
@@ -580,11 +581,11 @@ def embedding_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"WITH {_G}, {_R}, s AS (SELECT record_id, label, frequency, list(mv ORDER BY sample, mv) AS v FROM g JOIN r USING (record_id) WHERE frequency < 500 GROUP BY ALL), "
     "n AS (SELECT *, CAST(floor(len(v) * 500.0 / frequency) AS BIGINT) AS m FROM s), p AS (SELECT *, i * (len(v) - 1) / CAST(m - 1 AS DOUBLE) AS x FROM n, unnest(range(0, m)) t(i)), "
-    "q AS (SELECT *, greatest(least(CAST(floor(x) AS BIGINT), len(v) - 2), 0) AS k FROM p) SELECT record_id, label, CAST(i + 1 AS INTEGER) AS sample, round(v[k + 1] + CASE WHEN x > k THEN (x - k) * (v[k + 2] - v[k + 1]) ELSE 0 END, 5) AS mv FROM q"
+    "q AS (SELECT *, greatest(least(CAST(floor(x) AS BIGINT), len(v) - 2), 0) AS k FROM p) SELECT record_id, label, CAST(i + 1 AS INTEGER) AS sample, round(v[k + 1] + CASE WHEN x > k THEN (x - k) * (v[k + 2] - v[k + 1]) ELSE 0 END, 9) AS mv FROM q"
 )
 def upsample_linear(spark: SparkSession, d: str) -> DataFrame:
     s = readings(spark, d).join(rates(spark, d).filter("frequency < 500"), "record_id")
-    return waveforms.upsampled(s, 500.0).withColumn("mv", F.round("mv", 5))
+    return waveforms.upsampled(s, 500.0).withColumn("mv", F.round("mv", 9))
 
 
 # ---- features of whole channels --------------------------------------------------------------------------------------
