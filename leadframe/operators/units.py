@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadframe.functions.expr import let
+
 # Units of voltage and how many of them make one millivolt.
 PER_MV = {"V": 1e-3, "mV": 1.0, "uV": 1e3, "nV": 1e6}
 # How units are written, in lower case with micro signs as u, accents and plural s off.
@@ -48,27 +50,30 @@ def stated_scale(units: Column, info: Column) -> Column:
     A unit that ``units`` names comes first. Where it names nothing, ``info`` counts if it speaks of the values and of
     nothing else. A name that is no unit of voltage is another quantity.
     """
-    u = F.coalesce(_plain(units), F.lit(""))
-    inverse = u.rlike(r" ?(?:/|per) ?(?:bit|count|lsb|adu|step)s?$")
-    named = F.regexp_replace(u, r" ?(?:/|per) ?(?:bit|count|lsb|adu|step)s?$", "")
-    nameless = u.isin(*_NAMELESS)
-    i = F.coalesce(_plain(info), F.lit(""))
-    said = F.regexp_extract(i, rf"(?:^|[^a-z0-9])({_UNIT})(?:[^a-z0-9]|$)", 1)
-    of_values = i.rlike(_OF_VALUES) & ~i.rlike(_OF_OTHERS)
-    return F.struct(
-        F.when(nameless, F.when(of_values, _unit(said))).otherwise(_unit(named)).alias("unit"),
-        (inverse & ~nameless).alias("inverse"),
-        (~nameless & _unit(named).isNull()).alias("other"),
-    )
+    per_count = r" ?(?:/|per) ?(?:bit|count|lsb|adu|step)s?$"
+
+    def said(i: Column) -> Column:
+        named = F.regexp_extract(i, rf"(?:^|[^a-z0-9])({_UNIT})(?:[^a-z0-9]|$)", 1)
+        return F.when(i.rlike(_OF_VALUES) & ~i.rlike(_OF_OTHERS), _unit(named))
+
+    def named(u: Column) -> Column:
+        nameless = u.isin(*_NAMELESS)
+        unit = F.when(nameless, let(F.coalesce(_plain(info), F.lit("")), said)).otherwise(let(F.regexp_replace(u, per_count, ""), _unit))
+        return let(unit, lambda x: F.struct(x.alias("unit"), (u.rlike(per_count) & ~nameless).alias("inverse"), (~nameless & x.isNull()).alias("other")))
+
+    return let(F.coalesce(_plain(units), F.lit("")), named)
 
 
 def range_mv(text: Column) -> Column:
     """Millivolts that a printed input range stands for (5 mV, +/- 5 mV, 5000uV, 0.005 V); null if it is none."""
-    t = _plain(text)
-    number = F.regexp_extract(t, rf"^(?:\+/-|\+-|±)? ?([0-9]+(?:\.[0-9]+)?) ?({_UNIT})$", 1).try_cast("double")
-    unit = _unit(F.regexp_extract(t, rf"^(?:\+/-|\+-|±)? ?([0-9]+(?:\.[0-9]+)?) ?({_UNIT})$", 2))
+    pattern = rf"^(?:\+/-|\+-|±)? ?([0-9]+(?:\.[0-9]+)?) ?({_UNIT})$"
     per = F.create_map(*[F.lit(x) for k, v in PER_MV.items() for x in (k, v)])
-    return F.when((number > 0) & unit.isNotNull(), number / per[unit])
+
+    def read(t: Column) -> Column:
+        number = F.regexp_extract(t, pattern, 1).try_cast("double")
+        return F.when(number > 0, let(_unit(F.regexp_extract(t, pattern, 2)), lambda u: F.when(u.isNotNull(), number / per[u])))
+
+    return let(_plain(text), read)
 
 
 def fit_shifted_mixture(

@@ -17,7 +17,7 @@ _HEAD, _PER_CHANNEL = 13, 8
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, l): the lines of each file."""
-    f = spark.read.option("wholetext", True).text(path)
+    f = spark.read.text(path, wholetext=True)
     return f.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("record_id"), F.split("value", r"\r?\n").alias("l"))
 
 

@@ -29,7 +29,7 @@ def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     channels: record_id, number, file_name, storage_format, adc_gain, adc_baseline, adc_units, adc_resolution, adc_zero,
     initial_value, checksum, blocksize, label. What cannot be read as its type is null; blank lines are passed over.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.hea").text(path)
+    files = spark.read.option("pathGlobFilter", "*.hea").text(path, wholetext=True)
     f = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.hea$", 1).alias("record_id"), F.split("value", r"\r?\n").alias("l"))
     f = f.withColumn("l", F.filter(F.transform("l", lambda x: F.trim(F.replace(x, F.lit("\t"), F.lit(" ")))), lambda x: x != ""))
     f = f.withColumn("info", F.filter("l", lambda x: x.startswith("#"))).withColumn("l", F.filter("l", lambda x: ~x.startswith("#")))

@@ -20,7 +20,7 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
 
 def norm(v: object) -> object:
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else round(v, 9) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     return v
