@@ -17,11 +17,11 @@ def bare_lead(label: Column) -> Column:
 
 
 def elapsed(sample: Column, frequency: Column) -> Column:
-    """HH:MM:SS.sss since the start of the record; null without a positive frequency."""
-    ms = F.bround(sample * 1000 / frequency).cast("bigint")
+    """HH:MM:SS.sss since the start of the record; null without a sample or a positive frequency."""
+    ms = F.bround(sample.cast("double") * 1000 / F.when(frequency > 0, frequency)).cast("bigint")
     s = F.floor(ms / 1000)
     text = F.format_string("%02d:%02d:%02d.%03d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60, ms % 1000)
-    return F.when(frequency > 0, text)
+    return F.when(ms.isNotNull(), text)
 
 
 def elapsed_short(sample: Column, frequency: Column) -> Column:

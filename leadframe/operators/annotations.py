@@ -108,9 +108,10 @@ def rhythm_windows(
     """
     marks = [onset, offset, *([reference] if reference else [])]
     used = sorted({c for m in marks for c in m} | {"ann_id"})
+    on, off = criteria(annotations, onset), criteria(annotations, offset)
+    ref = criteria(annotations, reference) if reference else F.lit(False)
     a = annotations.filter(F.col("sample").isNotNull()).select(key, "sample", *used).distinct()
-    a = a.withColumn("_on", criteria(annotations, onset)).withColumn("_off", criteria(annotations, offset))
-    a = a.withColumn("_ref", criteria(annotations, reference) if reference else F.lit(False))
+    a = a.withColumn("_on", on).withColumn("_off", off).withColumn("_ref", ref)
     a = a.filter(F.col("_on") | F.col("_off") | F.col("_ref")).withColumn("_chunk", F.floor(F.col("sample") / CHUNK))
     for flag, name in (("_off", "offset"), ("_ref", "qrs"), ("_on", "_next_on")):
         a = first_later(a, [key], "_chunk", "sample", F.when(F.col(flag), F.col("sample")), name)
