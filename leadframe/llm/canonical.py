@@ -16,6 +16,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadframe.operators.durable import durable
 
@@ -55,7 +56,7 @@ def tokens(text: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _tokens(s: pd.Series) -> pd.Series:
     return s.map(tokens)
 
@@ -67,10 +68,10 @@ def _left_out(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), shorter))
 
 
-def _forms(token: Column, long: int) -> Column:
-    """Forms by which close tokens meet: one letter left out, of ``long`` letters or more two."""
+def _forms(token: Column, long: int, longest: int) -> Column:
+    """Forms by which close tokens meet: one letter left out, of ``long`` to ``longest`` letters two."""
     once = _left_out(token)
-    return F.when(F.length(token) >= long, F.array_distinct(F.flatten(F.transform(once, _left_out)))).otherwise(once)
+    return F.when(F.length(token).between(long, longest), F.array_distinct(F.flatten(F.transform(once, _left_out)))).otherwise(once)
 
 
 def _swaps(token: Column) -> Column:
@@ -83,22 +84,23 @@ def _swaps(token: Column) -> Column:
     return F.concat(F.array(token), F.when(n > 1, swapped).otherwise(F.array().cast("array<string>")))
 
 
-def repair(found: DataFrame, vocabulary: DataFrame, shortest: int = 3, long: int = 8) -> DataFrame:
+def repair(found: DataFrame, vocabulary: DataFrame, shortest: int = 3, long: int = 8, twice: int = 24, longest: int = 64) -> DataFrame:
     """(``token``, ``word``, ``meaning``, ``closeness``) for distinct tokens that the vocabulary has or nearly has.
 
     ``vocabulary`` has ``word`` and ``meaning``. A token is its own word if there is one; else, with ``shortest`` letters
-    or more, a word one edit away (a letter changed, left out, put in, or two neighbours swapped), and with ``long``
-    letters or more one two edits away. The fewest edits decide; if such words differ in meaning the token stays unread.
+    or more, a word one edit away (a letter changed, left out, put in, or two neighbours swapped), and for words
+    of ``long`` to ``twice`` letters one two edits away. The fewest edits decide; if such words differ in meaning the
+    token stays unread. Words of more than ``longest`` letters are matched exactly only.
     """
     exact = found.join(vocabulary, found["token"] == vocabulary["word"]).select("token", "word", "meaning", F.lit(1.0).alias("closeness"))
-    unknown = found.join(vocabulary, found["token"] == vocabulary["word"], "left_anti").filter((F.length("token") >= shortest) & F.col("token").rlike(r"\p{L}"))
-    near = unknown.select("token", F.explode(_forms(F.col("token"), long - 2)).alias("form"))
-    words = vocabulary.filter(F.length("word") >= shortest).select("word", "meaning", F.explode(_forms(F.col("word"), long)).alias("form"))
+    unknown = found.join(vocabulary, found["token"] == vocabulary["word"], "left_anti").filter(F.length("token").between(shortest, longest + 1) & F.col("token").rlike(r"\p{L}"))
+    near = unknown.select("token", F.explode(_forms(F.col("token"), long - 2, twice + 2)).alias("form"))
+    words = vocabulary.filter(F.length("word").between(shortest, longest)).select("word", "meaning", F.explode(_forms(F.col("word"), long, twice)).alias("form"))
     pairs = near.join(words, "form").select("token", "word", "meaning").distinct()
     away = F.levenshtein("token", "word")
     swapped = F.transform(_swaps(F.col("token")), lambda x: F.levenshtein(x, F.col("word")))
     edits = F.when(away <= 1, away).when(F.exists(swapped, lambda x: x == 0), 1).when(
-        (F.length("word") >= long) & ((away == 2) | F.exists(swapped, lambda x: x == 1)), 2
+        F.length("word").between(long, twice) & ((away == 2) | F.exists(swapped, lambda x: x == 1)), 2
     )
     close = pairs.withColumn("edits", edits).filter("edits is not null")
     least = close.groupBy("token").agg(F.min("edits").alias("edits"))

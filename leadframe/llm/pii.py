@@ -76,12 +76,14 @@ CARD = regex.compile(r"(?<![\p{L}\d#-])(?:\d{4}[ -]){3}\d{4}(?![\p{L}\d-])")
 _NO = r"\d{1,5}(?:\s?[a-zA-Z](?![\p{L}]))?"
 _WORDS = rf"(?:{_NAME}\s){{0,2}}{_NAME}"
 _FLAT = r"(?:(?:flat|apt\.?|apartment|unit|suite|wohnung|appartement|appt\.?|piso)\s?#?\w{1,4}(?:,?\s|\s?/\s?))?"
+# Words that open the next sentence where a full stop is missing.
+_OPENERS = r"(?:Les?|La|L|Une?|Mon|Ma|Mes|Je|Nous|Très|Colis|Commande|Payé|Modèle|Appelez|Écrivez|Livré|Merci|Cordialement|On|Elle|Ils?|À)(?![\p{L}])"
 _STREET = r"(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|court|ct|way|close|place|pl|terrace|boulevard|blvd|square|sq|crescent|row|walk|gardens|grove|hill|mews|parade)"
 ADDRESSES = tuple(
     (regex.compile(p), s)
     for p, s in (
         (rf"(?<![\w#-])(?i:{_FLAT})(?<![\w#.,-]){_NO}\s{_WORDS}\s(?i:{_STREET})(?![\p{{L}}\d])", 0.7),
-        (rf"(?<![\w#-]){_NO}(?:\s(?i:bis|ter|quater))?,?\s(?i:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|allée|quai|cours|route|square|passage)\s(?i:(?:de\s(?:la\s|l['’])?|du\s|des\s|d['’]))?{_NAME}", 0.8),
+        (rf"(?<![\w#-]){_NO}(?:\s(?i:bis|ter|quater))?,?\s(?i:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|allée|quai|cours|route|square|passage)\s(?i:(?:de\s(?:la\s|l['’])?|du\s|des\s|d['’]))?{_NAME}(?:\s(?!{_OPENERS}){_NAME})?", 0.8),
         (rf"(?<![\w#-])(?i:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|ronda|carrera|travesía)\s?(?i:(?:de\s(?:la\s|las\s|los\s)?|del\s))?{_WORDS},?\s(?:(?i:n\.?º)\s?)?{_NO}", 0.8),
         (rf"(?<![\w#-])(?:{_CAP}[\s-])?\p{{Lu}}[\p{{L}}'’]*?(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|hof|markt)\s{_NO}", 0.8),
         (rf"(?<![\w#-])(?:{_UP}[\s-])?\p{{Lu}}[\p{{Lu}}ß]*(?:STRASSE|STRAßE|STR\.|WEG|PLATZ|GASSE|ALLEE|RING|DAMM|UFER|HOF)\s{_NO}", 0.8),
