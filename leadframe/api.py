@@ -295,7 +295,7 @@ def plot_data(x: Recording, channels: Sequence[str] = (), time_frame: tuple[floa
     if channels and not x.channels.filter(_ch.matching(F.col("label"), channels)).take(1):
         raise ValueError("no channel matches")
     p = _ch.plot_data(x.signal, x.channels, x.records, channels, time_frame, value="value")
-    c = _ch.with_colors(x.channels.drop("color", "lead_group"), mode=mode).select("record_id", "label", "color").dropDuplicates(["record_id", "label"])
+    c = _ch.with_colors(x.channels, mode=mode).select("record_id", "label", "color").dropDuplicates(["record_id", "label"])
     return p.join(c, ["record_id", "label"], "left")
 
 

@@ -19,7 +19,7 @@ def with_sources(channels: DataFrame, key: str = "record_id", label: str = "labe
     are null and repeated labels are made unique. Null labels are unknown.
     """
     dim = lead_dim(channels.sparkSession).withColumnRenamed("label", "_l")
-    c = channels.withColumn(label, standard_label(F.col(label)))
+    c = channels.drop("lead_group", "ord", "source", "lead").withColumn(label, standard_label(F.col(label)))
     c = c.join(F.broadcast(dim), c[label] == dim["_l"], "left").drop("_l")
     known = c.groupBy(key).agg(F.bool_and(F.col("ord").isNotNull()).alias("_all"))
     c = make_unique(c, [key], label, number, "_unique").join(known, key)
@@ -46,13 +46,14 @@ def channel_counts(records: DataFrame, channels: DataFrame, key: str = "record_i
 def channel_source(df: DataFrame, label: str = "label") -> DataFrame:
     """Add ``lead_group`` of each label; null where it is unknown."""
     dim = lead_dim(df.sparkSession).select(F.col("label").alias("_l"), "lead_group")
+    df = df.drop("lead_group")
     return df.join(F.broadcast(dim), df[label] == F.col("_l"), "left").drop("_l")
 
 
 def with_colors(channels: DataFrame, keys: Sequence[str] = ("record_id",), label: str = "label", order: str = "number", mode: str = "dark") -> DataFrame:
     """Add ``color``: the i-th distinct lead of a group in a record takes the group's i-th shade; unknown labels none."""
     spark = channels.sparkSession
-    c = channel_source(channels, label)
+    c = channel_source(channels.drop("color"), label)
     first = c.filter(F.col("lead_group").isNotNull()).groupBy(*keys, label, "lead_group").agg(F.min(order).alias("_first"))
     w = Window.partitionBy(*keys, "lead_group").orderBy("_first")
     shade = first.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(palette_dim(spark, mode)), ["lead_group", "i"])
@@ -158,7 +159,7 @@ def plot_data(
     The frame is closed and goes by whole samples. Channels are joined by (key, label); samples without a channel row
     stay. Unknown labels come last.
     """
-    s = long.filter(matching(F.col("label"), wanted)).join(records.select(key, "frequency"), key)
+    s = long.select(key, "label", "sample", value).filter(matching(F.col("label"), wanted)).join(records.select(key, "frequency"), key)
     if frame_s is not None:
         s = s.filter(F.col("sample").between(F.bround(frame_s[0] * F.col("frequency")), F.bround(frame_s[1] * F.col("frequency"))))
     s = s.withColumn("time", F.col("sample") / F.col("frequency"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadframe.operators.chunked import over_blocks
@@ -48,18 +48,20 @@ def rising(signal: DataFrame, value: str = "mv", keys: Sequence[str] = KEYS, fac
     return out.filter((F.col("_a") < F.col(value)) & (F.col("_z") > F.col(value)) & (F.col(value) > F.col("_level"))).drop("_a", "_z", "_level")
 
 
-def apart(points: DataFrame, refractory: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def apart(points: DataFrame, refractory: int | Column, keys: Sequence[str] = KEYS) -> DataFrame:
     """Points taken greedily from the start, each at least ``refractory`` samples after the last one taken.
+    ``refractory`` may be a column that is alike for all points of a key.
 
     A point further than that from the point before it is always taken, whatever went before, so points fall into islands
     that are worked on apart; within an island one pass over its sorted positions decides.
     """
-    p = points.select(*keys, F.col("sample").alias("start"), (F.col("sample") + refractory - 1).alias("stop"))
-    islands = label_islands(p, keys).groupBy(*keys, "island").agg(F.array_sort(F.collect_list("start")).alias("at"))
+    step = refractory if isinstance(refractory, Column) else F.lit(refractory)
+    p = points.select(*keys, F.col("sample").alias("start"), (F.col("sample") + step - 1).alias("stop"))
+    islands = label_islands(p, keys).groupBy(*keys, "island").agg(F.array_sort(F.collect_list("start")).alias("at"), F.max(F.col("stop") - F.col("start") + 1).alias("_step"))
     kept = F.aggregate(
         "at",
         F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.get(acc, F.size(acc) - 1) + refractory), F.concat(acc, F.array(x.cast("bigint")))).otherwise(acc),
+        lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.get(acc, F.size(acc) - 1) + F.col("_step")), F.concat(acc, F.array(x.cast("bigint")))).otherwise(acc),
     )
     return islands.select(*keys, F.explode(kept).alias("sample")).withColumn("sample", F.col("sample").cast("int"))
 

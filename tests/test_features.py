@@ -240,3 +240,22 @@ def test_streamed_windows_are_the_batch_ones(spark, tmp_path):
     got = {tuple(r) for r in spark.table("streamed").collect()}
     w = api.window(rec, onset_criteria={"type": "(", "number": 0}, offset_criteria={"type": ")", "number": 2}, reference_criteria={"type": "N"}).table
     assert got == {tuple(r) for r in w.select("record_id", "window_id", "onset", "offset", "qrs").collect()} and len(got) == n - 1
+
+
+@pytest.mark.parametrize("block", [1700, 1 << 18])
+def test_blocks_of_long_channels(spark, block):
+    x, _ = _beats(250, 40, noise=0.02, seed=3)
+    short, _ = _beats(500, 4)
+    rows = [("long", "I", i, float(v), 250.0) for i, v in enumerate(x)] + [("short", "I", i, float(v), 500.0) for i, v in enumerate(short)] + [("nan", "I", i, math.nan, 250.0) for i in range(9)] + [("few", "I", 1, 1.0, 250.0)]
+    df = spark.createDataFrame(rows, "record_id string, label string, sample int, mv double, frequency double")
+    got = waveforms.qrs(df, block=block, margin=1500)
+    for name, y, f in (("long", x, 250.0), ("short", short, 500.0)):
+        assert sorted(r["sample"] for r in got.filter(F.col("record_id") == name).collect()) == dsp.detect_qrs(y, f).tolist()
+    assert got.select("record_id").distinct().count() == 2
+    band = waveforms.filtered(df, low=5.0, high=30.0, block=block, margin=1500).filter("record_id = 'long'").orderBy("sample").collect()
+    assert np.allclose([r["filtered"] for r in band], dsp.bandpass(x, 250, 5.0, 30.0), atol=1e-9)
+
+
+def test_columns_that_are_there_already(spark):
+    c = spark.createDataFrame([("r", 1, "I", "x", "y", 7, "z", "#1"), ("r", 2, None, "x", "y", 7, "z", "#1")], "record_id string, number int, label string, lead_group string, source string, ord int, lead string, color string")
+    assert [r["color"] for r in ch.with_colors(c).orderBy("number").collect()] == ["#E3F2FD", None] and ch.with_sources(c).count() == 2 and ch.channel_source(c).columns.count("lead_group") == 1
