@@ -259,3 +259,15 @@ def test_blocks_of_long_channels(spark, block):
 def test_columns_that_are_there_already(spark):
     c = spark.createDataFrame([("r", 1, "I", "x", "y", 7, "z", "#1"), ("r", 2, None, "x", "y", 7, "z", "#1")], "record_id string, number int, label string, lead_group string, source string, ord int, lead string, color string")
     assert [r["color"] for r in ch.with_colors(c).orderBy("number").collect()] == ["#E3F2FD", None] and ch.with_sources(c).count() == 2 and ch.channel_source(c).columns.count("lead_group") == 1
+
+
+@pytest.mark.parametrize("block", [3, 1 << 15])
+def test_upsampling_in_blocks(spark, block):
+    r = np.random.default_rng(4)
+    channels = {"a": (r.normal(size=23), 250.0), "b": (r.normal(size=7), 977.0), "c": (r.normal(size=5), 1000.0), "d": (np.array([2.5]), 250.0), "e": (np.array([1.0, 2.0]), 360.0)}
+    df = spark.createDataFrame([(k, "I", 3 * i, float(v), f) for k, (x, f) in channels.items() for i, v in enumerate(x)] + [("a", "I", 999, None, 250.0)], "record_id string, label string, sample int, mv double, frequency double")
+    out = waveforms.upsampled(df, 1000.0, block=block)
+    for k, (x, f) in channels.items():
+        got = [(q["sample"], q["mv"]) for q in out.filter(F.col("record_id") == k).orderBy("sample").collect()]
+        want = dsp.upsample(x, f, 1000.0) if len(x) > 1 else np.repeat(x, 4)
+        assert [g[0] for g in got] == list(range(1, len(want) + 1)) and np.allclose([g[1] for g in got], want), k
