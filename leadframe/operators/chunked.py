@@ -40,8 +40,10 @@ def running(
     """Add ``name``: the running ``agg`` (max, min, sum) of ``value`` over the earlier rows of the key.
 
     ``chunk`` is a column that never falls as ``order`` rises. Nulls in ``value`` are skipped; a row with nothing
-    before it gets null (sum: 0). Key columns may be null: they form one key. An empty table gives an empty table.
+    before it gets null (sum: 0). Rows with a null key belong to no key and are left out: joins on the plain key keep
+    the partitioning and the order that the window made. An empty table gives an empty table.
     """
+    df = df.dropna(subset=list(keys))
     w = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     carry = _carry(df, keys, chunk, value, agg, False)
     return _combine(df.withColumn("_local", _AGG[agg](value).over(w)), carry, keys, chunk, agg, name)
@@ -50,27 +52,32 @@ def running(
 def first_later(df: DataFrame, keys: Sequence[str], chunk: str, position: str, value: Column, name: str) -> DataFrame:
     """Add ``name``: the least ``value`` among rows of the key whose ``position`` is strictly greater.
 
-    ``value`` must be null or the position itself, so that values of later chunks are all greater.
+    ``value`` must be null or the position itself, so that values of later chunks are all greater. Rows with a null key are
+    left out.
     """
+    df = df.dropna(subset=list(keys))
     w = Window.partitionBy(*keys, chunk).orderBy(-F.col(position)).rangeBetween(Window.unboundedPreceding, -1)
     carry = _carry(df, keys, chunk, value, "min", True)
     return _combine(df.withColumn("_local", F.min(value).over(w)), carry, keys, chunk, "min", name)
 
 
 def _combine(df: DataFrame, carry: DataFrame, keys: Sequence[str], chunk: str, agg: str, name: str) -> DataFrame:
-    on = [df[k].eqNullSafe(carry[k]) for k in (*keys, chunk)]
-    both = df.join(carry, on, "left").select(*[df[c] for c in df.columns], carry["_carry"])
+    both = df.join(carry, [*keys, chunk], "left")
     if agg == "sum":
         out = F.coalesce("_local", F.lit(0)) + F.coalesce("_carry", F.lit(0))
     else:
         out = _COMBINE[agg](F.col("_local"), F.col("_carry"))
-    return both.withColumn(name, out).drop("_local", "_carry")
+    return both.select(*[c for c in df.columns if c not in ("_local", name)], out.alias(name))
 
 
 def ranked(df: DataFrame, keys: Sequence[str], position: str, chunk_width: int = 1 << 16) -> DataFrame:
-    """Distinct rows with ``rank``, their number within the key from 0, by ``position`` and then the other columns."""
+    """Distinct rows with ``rank``, their number within the key from 0, by ``position`` and then the other columns.
+
+    Rows with a null key or position are left out.
+    """
+    df = df.dropna(subset=[*keys, position])
     rest = [F.col(c) for c in df.columns if c not in (*keys, position)]
-    r = df.withColumn("_chunk", F.floor(F.col(position) / chunk_width)).repartition(*keys, "_chunk").distinct()
+    r = df.distinct().withColumn("_chunk", F.floor(F.col(position) / chunk_width))  # copies go before the shuffle by chunk
     return running(r, keys, "_chunk", [F.col(position), *rest], F.lit(1), "sum", "rank").drop("_chunk")
 
 

@@ -45,7 +45,7 @@ def label_islands(intervals: DataFrame, keys: Sequence[str], chunk_width: int =
     """Add ``prev_stop`` (running maximum of earlier stops), ``is_new`` and ``island`` (start of the row's period).
 
     Rows are taken by (start, stop). A row opens a period if nothing precedes it or its start lies beyond every earlier
-    stop; touching intervals share a period. Rows with a null bound or with stop before start are left out.
+    stop; touching intervals share a period. Rows with a null key or bound or with stop before start are left out.
     """
     i = (
         intervals.filter(F.col("start") <= F.col("stop"))

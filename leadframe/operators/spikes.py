@@ -149,7 +149,7 @@ def implausible(
     widening it, until the next one is isolated by more than the threshold. Only readings beyond the first threshold
     take part in this, gathered by equal isolation before they meet.
 
-    Null readings are no readings; nan and infinities are impossible. Rows delivered again count once. A source without
+    Null readings, and rows without a key or position, are no readings; nan and infinities are impossible. Rows delivered again count once. A source without
     sound readings has no span and no spikes; a source of one reading has none either.
     """
     s = durable(scan(df, keys, position, value, factor, **options))

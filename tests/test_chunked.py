@@ -26,7 +26,8 @@ def test_running_and_first_later(spark, width):
     out = running(out, ["k"], "c", order, F.col("v"), "sum", "total", inclusive=True)
     out = first_later(out, ["k"], "c", "p", F.when(F.col("v") > 25, F.col("p")), "next")
     got = {r["i"]: (r["top"], r["total"], r["next"]) for r in out.collect()}
-    for k, p, v, i in rows:
+    assert set(got) == {x[3] for x in rows if x[0]}
+    for k, p, v, i in (x for x in rows if x[0]):
         before = [x for x in rows if x[0] == k and (x[1], x[3]) < (p, i) and x[2] is not None]
         upto = sum(x[2] for x in before) + (v or 0)
         later = [x[1] for x in rows if x[0] == k and x[1] > p and (x[2] or 0) > 25]
