@@ -93,6 +93,15 @@ def is_windowed(x: object) -> bool:
     return isinstance(x, Windows)
 
 
+def windowed(table: DataFrame, source: Recording, method: str = "rhythm") -> Windows:
+    """Windows from a table of (record_id, window_id, onset, offset) over a recording."""
+    if not isinstance(source, Recording):
+        raise TypeError("windows need the recording they come from")
+    if not _has(table, ["record_id", "window_id", "onset", "offset"]):
+        raise TypeError("windows need record_id, window_id, onset and offset")
+    return Windows(table, source, method)
+
+
 # ---- constructors ----------------------------------------------------------------------------------------------------
 
 
@@ -234,6 +243,30 @@ def extract_signal(x: Recording, data_format: str = "data_frame") -> DataFrame:
     return wide if data_format == "data_frame" else wide.drop("sample")
 
 
+#: Where external programs of the format are looked for; nothing here needs them.
+_options: dict[str, str | None] = {"wfdb_path": None}
+
+
+def set_wfdb_path(path: str | None) -> None:
+    _options["wfdb_path"] = path
+
+
+def find_wfdb_software() -> str | None:
+    """The folder set before, else that of a program on the search path, else None."""
+    import os
+    import shutil
+
+    hit = shutil.which("wfdb-config")
+    return _options["wfdb_path"] or (os.path.dirname(hit) if hit else None)
+
+
+def find_wfdb_command(app: str, path: str | None = None) -> str:
+    import os
+
+    folder = path or find_wfdb_software()
+    return os.path.join(folder, app) if folder else app
+
+
 # ---- annotations and windows -----------------------------------------------------------------------------------------
 
 

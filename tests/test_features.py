@@ -271,3 +271,15 @@ def test_upsampling_in_blocks(spark, block):
         got = [(q["sample"], q["mv"]) for q in out.filter(F.col("record_id") == k).orderBy("sample").collect()]
         want = dsp.upsample(x, f, 1000.0) if len(x) > 1 else np.repeat(x, 4)
         assert [g[0] for g in got] == list(range(1, len(want) + 1)) and np.allclose([g[1] for g in got], want), k
+
+
+def test_windowed_and_paths(spark):
+    rec, _ = _recording(spark)
+    table = spark.createDataFrame([("r1", 1, 10, 20)], "record_id string, window_id int, onset int, offset int")
+    assert api.is_windowed(api.windowed(table, rec)) and api.windowed(table, rec).signal().count() == 33
+    for bad in ((table, 3), (rec.signal, rec)):
+        with pytest.raises(TypeError):
+            api.windowed(*bad)
+    api.set_wfdb_path("/opt/wfdb")
+    assert api.find_wfdb_software() == "/opt/wfdb" and api.find_wfdb_command("rdann") == "/opt/wfdb/rdann"
+    api.set_wfdb_path(None)
