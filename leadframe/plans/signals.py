@@ -9,7 +9,7 @@ from leadframe.functions import text
 from leadframe.functions.dims import ANNOTATIONS, LABELS, LEADS, PALETTE, SURFACE, annotation_dim
 from leadframe.operators import annotations as ann_ops
 from leadframe.operators import channels as ch
-from leadframe.operators import rhythm, waveforms
+from leadframe.operators import rhythm, units, waveforms
 from leadframe.sources.tables import table
 
 ONSET, OFFSET, REFERENCE = {"type": "(", "number": 0}, {"type": ")", "number": 2}, {"type": "N"}
@@ -251,12 +251,13 @@ def window_peak_to_peak(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_windows_sql(True, True)}, v AS (SELECT 0 AS part, * FROM w UNION ALL SELECT 1, * FROM w WHERE window_id % 2 = 1) "
+    f"WITH {_windows_sql(True, True)}, o AS (SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY sample, ann_id) AS window_id, sample AS onset, nx_off AS \"offset\" FROM n WHERE is_on AND nx_off IS NOT NULL), "
+    'v AS (SELECT 0 AS part, record_id, window_id, onset, "offset" FROM w UNION ALL SELECT 1, record_id, window_id, onset, "offset" FROM o) '
     'SELECT record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY part, onset, window_id) AS INTEGER) AS window_id, onset, "offset" FROM v'
 )
 def window_concat_union(spark: SparkSession, d: str) -> DataFrame:
-    w = _windows(spark, d)
-    return ann_ops.concat_windows(w, w.filter("window_id % 2 = 1")).select("record_id", "window_id", "onset", "offset")
+    every = ann_ops.rhythm_windows(annotations(spark, d, "ecgpuwave"), ONSET, OFFSET, None, "any")
+    return ann_ops.concat_windows(_windows(spark, d), every).select("record_id", "window_id", "onset", "offset")
 
 
 @query(
@@ -349,6 +350,9 @@ def unpivot_channels(spark: SparkSession, d: str) -> DataFrame:
 _USED = "u AS (SELECT record_id, replace(upper(label), '_', ' ') AS label, max_by(adc_gain, number) FILTER (adc_gain IS NOT NULL) AS gain, max_by(adc_baseline, number) FILTER (adc_baseline IS NOT NULL) AS base, max(storage_format) AS fmt FROM c GROUP BY ALL)"
 
 
+_HIGH = "CASE fmt WHEN 8 THEN 127 WHEN 80 THEN 127 WHEN 16 THEN 32767 WHEN 24 THEN 8388607 WHEN 32 THEN 2147483647 WHEN 212 THEN 2047 END"
+
+
 def _scales(spark: SparkSession, d: str) -> DataFrame:
     c = channels(spark, d).withColumn("label", text.standard_label(F.col("label")))
     pick = lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), F.col("number")))
@@ -361,9 +365,9 @@ def digital_to_physical(spark: SparkSession, d: str) -> DataFrame:
     return s.select("record_id", "sample", "label", F.round(ch.to_physical(F.col("value"), F.col("gain"), F.col("base")), 6).alias("physical"))
 
 
-@query(f"WITH {_G}, {_C}, {_USED} SELECT record_id, sample, label, CAST(greatest(least(round(mv * coalesce(gain, 200) + coalesce(base, 0)), 32767), -32768) AS INTEGER) AS digital FROM g JOIN u USING (record_id, label) WHERE fmt = 16")
+@query(f"WITH {_G}, {_C}, {_USED} SELECT record_id, sample, label, CAST(greatest(least(round(mv * coalesce(gain, 200) + coalesce(base, 0)), {_HIGH}), -{_HIGH} - 1) AS INTEGER) AS digital FROM g JOIN u USING (record_id, label)")
 def physical_to_digital_clamped(spark: SparkSession, d: str) -> DataFrame:
-    s = readings(spark, d).join(_scales(spark, d), ["record_id", "label"]).filter("fmt = 16")
+    s = readings(spark, d).join(_scales(spark, d), ["record_id", "label"])
     return s.select("record_id", "sample", "label", ch.to_digital(F.col("mv"), F.col("gain"), F.col("base"), F.col("fmt")).alias("digital"))
 
 
@@ -412,11 +416,14 @@ def make_unique_labels(spark: SparkSession, d: str) -> DataFrame:
     return text.make_unique(c, ["record_id"], "l", "number", "label").select("record_id", "number", "label")
 
 
-@query(f"WITH {_C} SELECT record_id, number, round(CASE WHEN adc_saturation > 0 AND storage_format > 0 THEN adc_saturation / CAST(storage_format AS DOUBLE) ELSE adc_gain END, 6) AS gain FROM c")
+@query(
+    f"WITH {_C}, x AS (SELECT *, lower(replace(replace(coalesce(range_text, ''), 'µ', 'u'), 'μ', 'u')) AS t FROM c), y AS (SELECT *, CAST(nullif(regexp_extract(t, '([0-9.]+) ?(v|mv|uv|millivolt)$', 1), '') AS DOUBLE) AS v, regexp_extract(t, '[0-9] ?(v|mv|uv|millivolt)$', 1) AS u FROM x) "
+    "SELECT record_id, number, round(CASE WHEN adc_saturation > 0 AND v > 0 THEN adc_saturation / (v * CASE u WHEN 'v' THEN 1000 WHEN 'uv' THEN 0.001 ELSE 1 END) ELSE adc_gain END, 6) AS gain FROM y"
+)
 def header_gain(spark: SparkSession, d: str) -> DataFrame:
-    # The table has no numeric range; the storage format stands in for it.
     c = channels(spark, d)
-    return c.select("record_id", "number", F.round(ch.gain_of_range(F.col("adc_saturation"), F.col("storage_format").cast("double"), F.col("adc_gain")), 6).alias("gain"))
+    gain = ch.gain_of_range(F.col("adc_saturation"), units.range_mv(F.col("range_text")), F.col("adc_gain"))
+    return c.select("record_id", "number", F.round(gain, 6).alias("gain"))
 
 
 @query(f"WITH {_C}, n AS (SELECT record_id, count(*) AS n FROM c GROUP BY ALL) SELECT r.record_id, CAST(CASE WHEN number_of_channels > 0 THEN number_of_channels ELSE coalesce(n, 0) END AS INTEGER) AS number_of_channels FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM records) r LEFT JOIN n USING (record_id)")
@@ -579,13 +586,13 @@ def embedding_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_G}, {_R}, s AS (SELECT record_id, label, frequency, list(mv ORDER BY sample, mv) AS v FROM g JOIN r USING (record_id) WHERE frequency < 500 GROUP BY ALL), "
-    "n AS (SELECT *, CAST(floor(len(v) * 500.0 / frequency) AS BIGINT) AS m FROM s), p AS (SELECT *, i * (len(v) - 1) / CAST(m - 1 AS DOUBLE) AS x FROM n, unnest(range(0, m)) t(i)), "
+    f"WITH {_G}, {_R}, s AS (SELECT record_id, label, frequency, list(mv ORDER BY sample, mv) AS v FROM g JOIN r USING (record_id) GROUP BY ALL), "
+    "n AS (SELECT *, CAST(CASE WHEN frequency >= 1000 THEN len(v) ELSE floor(len(v) * 1000.0 / frequency) END AS BIGINT) AS m FROM s), p AS (SELECT *, i * (len(v) - 1) / CAST(m - 1 AS DOUBLE) AS x FROM n, unnest(range(0, m)) t(i)), "
     "q AS (SELECT *, greatest(least(CAST(floor(x) AS BIGINT), len(v) - 2), 0) AS k FROM p) SELECT record_id, label, CAST(i + 1 AS INTEGER) AS sample, round(v[k + 1] + CASE WHEN x > k THEN (x - k) * (v[k + 2] - v[k + 1]) ELSE 0 END, 9) AS mv FROM q"
 )
 def upsample_linear(spark: SparkSession, d: str) -> DataFrame:
-    s = readings(spark, d).join(rates(spark, d).filter("frequency < 500"), "record_id")
-    return waveforms.upsampled(s, 500.0).withColumn("mv", F.round("mv", 9))
+    s = readings(spark, d).join(rates(spark, d), "record_id")
+    return waveforms.upsampled(s, 1000.0).withColumn("mv", F.round("mv", 9))
 
 
 # ---- features of whole channels --------------------------------------------------------------------------------------
@@ -636,4 +643,4 @@ def f_wave_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def f_wave_features_ica(spark: SparkSession, d: str) -> DataFrame:
-    return waveforms.f_waves(_rated(spark, d).filter(F.col("label") == "II"), ("amplitude", "dominant_frequency"), "ica")
+    return waveforms.f_waves(_rated(spark, d).filter(F.col("label").isin(*SURFACE)), ("amplitude", "dominant_frequency"), "ica")
