@@ -142,6 +142,34 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(g, ["record_id", "label"], "sample", "mv").select("record_id", "label", "sample").distinct()
 
 
+def _isolation_sql() -> str:
+    """The largest least distance over the runs of up to three readings that a reading is in."""
+    at = lambda k: "mv" if k == 0 else f"lag(mv, {-k}) OVER w" if k < 0 else f"lead(mv, {k}) OVER w"
+    runs = []
+    for length in (1, 2, 3):
+        for place in range(length):
+            before, after = at(-place - 1), at(length - place)
+            each = [f"CASE WHEN isnan(({at(k)}) - ({x})) THEN 0 ELSE abs(({at(k)}) - ({x})) END" for k in range(-place, length - place) for x in (before, after)]
+            runs.append(f"CASE WHEN ({before}) IS NULL OR ({after}) IS NULL THEN 0 ELSE least({', '.join(each)}) END")
+    return f"greatest({', '.join(runs)})"
+
+
+def _p6_sql(rounds: int = 5) -> str:
+    """Spans are refined from robust ones: each round leaves out what the last one calls a spike."""
+    steps = ["s0 AS (SELECT record_id, label, quantile_cont(mv, 0.9) - quantile_cont(mv, 0.1) AS span FROM x WHERE NOT bad GROUP BY ALL)"]
+    for k in range(rounds):
+        steps.append(f"s{k + 1} AS (SELECT record_id, label, max(mv) - min(mv) AS span FROM x JOIN s{k} s USING (record_id, label) WHERE NOT bad AND iso <= 1.5 * s.span GROUP BY ALL)")
+    return f"""WITH g AS (SELECT DISTINCT record_id, label, sample, mv FROM ggm WHERE mv IS NOT NULL),
+i AS (SELECT *, {_isolation_sql()} AS iso, NOT isfinite(mv) OR abs(mv) > 50 AS impossible, row_number() OVER w - row_number() OVER (PARTITION BY record_id, label, mv ORDER BY sample) AS run
+  FROM g WINDOW w AS (PARTITION BY record_id, label ORDER BY sample)),
+x AS (SELECT *, impossible OR count(*) OVER (PARTITION BY record_id, label, mv, run) >= 20 AS bad FROM i),
+{", ".join(steps)}
+SELECT DISTINCT record_id, label, sample FROM x LEFT JOIN s{rounds} s USING (record_id, label) WHERE bad OR iso > 1.5 * s.span"""
+
+
+P6_FOUND_SQL = _p6_sql()
+
+
 def _channels(spark: SparkSession, d: str) -> DataFrame:
     cols = ("record_id", "number", "adc_gain", "adc_units", "info_text", "adc_saturation", "range_text")
     return table(spark, d, "header_table", *cols).distinct()
@@ -183,5 +211,5 @@ QUERIES = {
 
 SQL = {
     "p2_found": P2_FOUND_SQL, "p2_periods": P2_PERIODS_SQL, "p3_found": P3_FOUND_SQL, "p3_loaded": P3_LOADED_SQL, "p5_found": P5_FOUND_SQL,
-    "p7_found": P7_FOUND_SQL,
+    "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL,
 }

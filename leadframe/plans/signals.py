@@ -269,12 +269,14 @@ def qrs_neighbourhoods(spark: SparkSession, d: str) -> DataFrame:
     return n.select("record_id", "point", "k", "label", F.round("mv", 6).alias("mv"))
 
 
-def _normalized_sql(method: str, target: int, preserve: bool) -> str:
+def _normalized_sql(method: str, target: int, preserve: bool, centred: bool = False) -> str:
     value = {"linear": "v[k + 1] + CASE WHEN x > k THEN (x - k) * (v[k + 2] - v[k + 1]) ELSE 0 END", "step": "v[CAST(floor(x + 1e-9) AS BIGINT) + 1]"}[method]
     out = "CASE WHEN hi > lo THEN (y - lo) / (hi - lo) * (list_max(v) - list_min(v)) + list_min(v) ELSE y END" if preserve else "y"
     return f"""WITH {_windows_sql(True, True)}, {_G},
 s AS (SELECT g.record_id, w.window_id, g.label, list(g.mv ORDER BY g.sample, g.mv) AS v FROM g JOIN w ON g.record_id = w.record_id AND g.sample BETWEEN w.onset AND w."offset" GROUP BY ALL),
-p AS (SELECT *, i * (len(v) - 1) / {target - 1}.0 AS x FROM s, unnest(range(0, {target})) t(i)),
+f AS (SELECT w.record_id, w.window_id, {f"min(a.sample) - w.onset + 1 - {-(-target // 2)}" if centred else "0"} AS shift FROM w JOIN a ON a.record_id = w.record_id AND a.sample BETWEEN w.onset AND w."offset"
+  WHERE a.annotator = 'ecgpuwave' AND a.type = 'N' GROUP BY w.record_id, w.window_id, w.onset),
+p AS (SELECT s.*, i, greatest(0.0, least(i * (len(v) - 1) / {target - 1}.0 + shift, len(v) - 1.0)) AS x FROM s JOIN f USING (record_id, window_id), unnest(range(0, {target})) t(i)),
 q AS (SELECT *, greatest(least(CAST(floor(x) AS BIGINT), len(v) - 2), 0) AS k FROM p),
 y AS (SELECT *, {value} AS y FROM q),
 z AS (SELECT *, min(y) OVER g AS lo, max(y) OVER g AS hi FROM y WINDOW g AS (PARTITION BY record_id, window_id, label))
@@ -306,7 +308,7 @@ def time_normalize_spline(spark: SparkSession, d: str) -> DataFrame:
     return _normalized(spark, d, target=50, method="spline")
 
 
-@query()
+@query(_normalized_sql("linear", 50, True, True))
 def time_normalize_aligned(spark: SparkSession, d: str) -> DataFrame:
     w = _windows(spark, d)
     feature = ann_ops.window_annotations(annotations(spark, d, "ecgpuwave").filter("type = 'N' and sample is not null"), w)
@@ -531,6 +533,15 @@ def find_peaks(spark: SparkSession, d: str) -> DataFrame:
     return rhythm.find_peaks(readings(spark, d).filter("abs(mv) < 50")).select("record_id", "label", "sample")
 
 
+@query(
+    f"WITH {_G}, f AS (SELECT * FROM g WHERE abs(mv) < 50), k AS (SELECT record_id, label, abs(mv) AS x, lag(abs(mv)) OVER w AS p, lead(abs(mv)) OVER w AS n FROM f WINDOW w AS (PARTITION BY record_id, label ORDER BY sample, mv)), "
+    "l AS (SELECT record_id, label, avg(abs(mv)) + 2 * stddev_samp(abs(mv)) AS l FROM f GROUP BY ALL) SELECT record_id, label, count(*) AS peaks, round(avg(x), 9) AS mean_abs_peak FROM k JOIN l USING (record_id, label) WHERE x > p AND x > n AND x > l GROUP BY ALL"
+)
+def mean_abs_peak(spark: SparkSession, d: str) -> DataFrame:
+    p = rhythm.find_peaks(readings(spark, d).filter("abs(mv) < 50"))
+    return p.groupBy("record_id", "label").agg(F.count(F.lit(1)).alias("peaks"), F.round(F.avg(F.abs("mv")), 9).alias("mean_abs_peak"))
+
+
 @query(
     f"WITH {_G}, {_R} SELECT record_id, label, sample, round((-mv - 2 * coalesce(lag(mv, 1) OVER w, 0) + 2 * coalesce(lag(mv, 3) OVER w, 0) + coalesce(lag(mv, 4) OVER w, 0)) * frequency / 8, 9) AS slope FROM g JOIN r USING (record_id) WHERE abs(mv) < 50 WINDOW w AS ({_BY})"
 )
@@ -617,6 +628,17 @@ def approx_entropy(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("approximate_entropy", F.round("approximate_entropy", 6))
 
 
+@query(
+    """WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
+l AS (SELECT vec_id, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM e GROUP BY ALL),
+t AS (SELECT vec_id, i, (v - a - b * i) * CASE WHEN i < 6 THEN 0.5 * (1 - cos(pi() * (2 * i + 1) / 12)) WHEN i > 57 THEN 0.5 * (1 - cos(pi() * (2 * (63 - i) + 1) / 12)) ELSE 1 END AS x FROM e JOIN l USING (vec_id)),
+p AS (SELECT vec_id, k, pow(sum(x * cos(2 * pi() * k * i / 64)), 2) + pow(sum(x * sin(2 * pi() * k * i / 64)), 2) AS power FROM t, unnest(range(4, 10)) u(k) GROUP BY ALL)
+SELECT vec_id, CAST(arg_max(k, power) AS DOUBLE) AS dominant_frequency FROM p GROUP BY ALL"""
+)
+def dominant_frequency_arrays(spark: SparkSession, d: str) -> DataFrame:
+    return waveforms.dominant_frequency(_arrays(spark, d), 4.0, 9.0, keys=("vec_id",))
+
+
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     return readings(spark, d).filter("abs(mv) < 50").join(rates(spark, d), "record_id")
 
