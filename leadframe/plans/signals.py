@@ -386,11 +386,11 @@ def pivot_wide(spark: SparkSession, d: str) -> DataFrame:
     return w.select("record_id", "sample", F.round("I", 6).alias("lead_i"), F.round("II", 6).alias("lead_ii"), F.round("V1", 6).alias("lead_v1"))
 
 
-@query(f"WITH {_G} SELECT record_id, label, min(sample) AS first_sample, count(*) AS n, round(sum(mv), 3) AS total FROM g GROUP BY ALL")
+@query(f"WITH {_G} SELECT record_id, label, min(sample) AS first_sample, count(*) AS n, round(sum(mv) + 1e-7, 3) AS total FROM g GROUP BY ALL")
 def signal_arrays(spark: SparkSession, d: str) -> DataFrame:
     a = ch.signal_arrays(readings(spark, d), value="mv")
     total = F.aggregate("values", F.lit(0.0), lambda acc, x: acc + x)
-    return a.select("record_id", "label", "first_sample", F.size("values").cast("bigint").alias("n"), F.round(total, 3).alias("total"))
+    return a.select("record_id", "label", "first_sample", F.size("values").cast("bigint").alias("n"), F.round(total + 1e-7, 3).alias("total"))
 
 
 @query(
