@@ -12,6 +12,8 @@ from leadframe.operators import channels as ch
 from leadframe.operators import rhythm, units, waveforms
 from leadframe.sources.tables import table
 
+#: Features of whole channels are taken by the minute, so that no recording is one group, however long.
+EXCERPT_S = 60.0
 ONSET, OFFSET, REFERENCE = {"type": "(", "number": 0}, {"type": ")", "number": 2}, {"type": "N"}
 
 
@@ -645,7 +647,7 @@ def _rated(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dominant_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return waveforms.dominant_frequency(_rated(spark, d))
+    return waveforms.dominant_frequency(_rated(spark, d), excerpt_s=EXCERPT_S)
 
 
 @query()
@@ -660,9 +662,9 @@ def bandpass_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def f_wave_features(spark: SparkSession, d: str) -> DataFrame:
-    return waveforms.f_waves(_rated(spark, d).filter(F.col("label").isin(*SURFACE)), ("amplitude", "dominant_frequency"))
+    return waveforms.f_waves(_rated(spark, d).filter(F.col("label").isin(*SURFACE)), ("amplitude", "dominant_frequency"), excerpt_s=EXCERPT_S)
 
 
 @query()
 def f_wave_features_ica(spark: SparkSession, d: str) -> DataFrame:
-    return waveforms.f_waves(_rated(spark, d).filter(F.col("label").isin(*SURFACE)), ("amplitude", "dominant_frequency"), "ica")
+    return waveforms.f_waves(_rated(spark, d).filter(F.col("label").isin(*SURFACE)), ("amplitude", "dominant_frequency"), "ica", excerpt_s=EXCERPT_S)

@@ -283,3 +283,11 @@ def test_windowed_and_paths(spark):
     api.set_wfdb_path("/opt/wfdb")
     assert api.find_wfdb_software() == "/opt/wfdb" and api.find_wfdb_command("rdann") == "/opt/wfdb/rdann"
     api.set_wfdb_path(None)
+
+
+def test_excerpts(spark):
+    x, _ = _beats(250, 20)
+    df = spark.createDataFrame([("r", "I", i, float(v), 250.0) for i, v in enumerate(x)], "record_id string, label string, sample int, mv double, frequency double")
+    out = {r["excerpt"]: r["dominant_frequency"] for r in waveforms.dominant_frequency(df, excerpt_s=10.0).collect()}
+    assert out == {k: dsp.dominant_frequency(x[2500 * k : 2500 * (k + 1)], 250.0) for k in (0, 1)}
+    assert waveforms.f_waves(df, excerpt_s=10.0).count() == 2 and waveforms.f_waves(df).count() == 1
