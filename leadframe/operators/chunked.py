@@ -9,6 +9,8 @@ that meet per key are the summaries. The result is exactly that of the plain win
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -17,6 +19,12 @@ _COMBINE = {"max": F.greatest, "min": F.least}
 _AGG = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
+def _placed(df: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
+    """Rows with a key and a chunk. Said as plain conditions: the join asks the same of the summaries, so that both sides
+    read one and the same shuffle."""
+    return df.filter(reduce(and_, (F.col(c).isNotNull() for c in (*keys, chunk))))
+
+
 def _carry(df: DataFrame, keys: Sequence[str], chunk: str, value: Column, agg: str, backward: bool) -> DataFrame:
     """One row per (keys, chunk): the aggregate of ``value`` over all chunks before (after) it."""
     w = Window.partitionBy(*keys).orderBy(F.col(chunk).desc() if backward else F.col(chunk).asc())
@@ -43,7 +51,7 @@ def running(
     before it gets null (sum: 0). Rows with a null key belong to no key and are left out: joins on the plain key keep
     the partitioning and the order that the window made. An empty table gives an empty table.
     """
-    df = df.dropna(subset=list(keys))
+    df = _placed(df, keys, chunk)
     w = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     carry = _carry(df, keys, chunk, value, agg, False)
     return _combine(df.withColumn("_local", _AGG[agg](value).over(w)), carry, keys, chunk, agg, name)
@@ -55,7 +63,7 @@ def first_later(df: DataFrame, keys: Sequence[str], chunk: str, position: str, v
     ``value`` must be null or the position itself, so that values of later chunks are all greater. Rows with a null key are
     left out.
     """
-    df = df.dropna(subset=list(keys))
+    df = _placed(df, keys, chunk)
     w = Window.partitionBy(*keys, chunk).orderBy(-F.col(position)).rangeBetween(Window.unboundedPreceding, -1)
     carry = _carry(df, keys, chunk, value, "min", True)
     return _combine(df.withColumn("_local", F.min(value).over(w)), carry, keys, chunk, "min", name)
