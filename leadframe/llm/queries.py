@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadframe.llm import canonical, leakage, mixing, nearest, pii
+from leadframe.operators import channels as ch
+from leadframe.plans import signals
 from leadframe.sources.tables import table
 
 # Annotation codes that mark a beat.
@@ -57,6 +59,25 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return typed.join(none, "label").groupBy("label").agg(F.count(F.lit(1)).alias("channels"))
 
 
+def _scales(spark: SparkSession, d: str) -> DataFrame:
+    """Gain, baseline and format per channel, under the canonical label that a typed one means."""
+    _, meant = _label_map(spark, d)
+    known = meant.join(table(spark, d, "lead_dim", "label_id", F.col("label").alias("canonical")), "label_id")
+    return ch.scales(signals.channels(spark, d), known.select(F.col("value").alias("label"), "canonical"))
+
+
+def digital_to_physical_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every converter count in mV; a channel that no header label means has the default gain."""
+    s = signals.counts(spark, d).join(_scales(spark, d), ["record_id", "label"], "left")
+    return s.select("record_id", "sample", "label", F.round(ch.to_physical(F.col("value"), F.col("gain"), F.col("base")), 6).alias("physical"))
+
+
+def physical_to_digital_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every reading as a count; a channel that no header label means has the default gain and the widest format."""
+    s = signals.readings(spark, d).join(_scales(spark, d), ["record_id", "label"], "left")
+    return s.select("record_id", "sample", "label", ch.to_digital(F.col("mv"), F.col("gain"), F.col("base"), F.coalesce("fmt", F.lit(32))).alias("digital"))
+
+
 _WORDS_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in canonical.CHANNEL_WORDS.items()) + ") v(word, meaning)"
 
 #: A plainer reading that gives the same: letters and numbers of a label, each word by its nearest known word, as one key.
@@ -124,7 +145,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares,
-    "p10_found": p10_found, "p10_redacted": p10_redacted,
+    "p10_found": p10_found, "p10_redacted": p10_redacted, "digital_to_physical_all": digital_to_physical_all, "physical_to_digital_all": physical_to_digital_all,
 }
 
 SQL = {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p8_found": P8_FOUND_SQL}

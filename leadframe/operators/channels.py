@@ -107,6 +107,23 @@ def matching(label: Column, wanted: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (label == w if w in LABELS else label.rlike(w) for w in wanted))
 
 
+def scales(channels: DataFrame, meant: DataFrame | None = None, label: str = "label") -> DataFrame:
+    """(record_id, label, gain, base, fmt) per channel: of several with one label the last stated gain and baseline.
+
+    ``meant`` has (``label``, ``canonical``) for labels typed by hand: a channel goes by that label where it is not null,
+    otherwise by its own in standard form, which counts before typed ones.
+    """
+    c = channels.withColumn("_own", standard_label(F.col(label)))
+    if meant is not None:
+        m = meant.select(F.col("label").alias(label), F.col("canonical").alias("_meant")).dropna()
+        c = c.join(m, label, "left").withColumn("_typed", F.col("_meant").isNotNull() & (F.col("_meant") != F.col("_own")))
+    else:
+        c = c.withColumn("_meant", F.lit(None).cast("string")).withColumn("_typed", F.lit(False))
+    c = c.withColumn("_label", F.coalesce("_meant", "_own"))
+    pick = lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), F.struct(~F.col("_typed"), F.col("number"))))
+    return c.groupBy("record_id", F.col("_label").alias("label")).agg(pick("adc_gain").alias("gain"), pick("adc_baseline").alias("base"), F.max("storage_format").alias("fmt"))
+
+
 def to_physical(value: Column, gain: Column, baseline: Column) -> Column:
     """(value - baseline) / gain; no baseline counts as 0, a gain of 0 divides nothing, a null gain is 200."""
     g = F.coalesce(gain, F.lit(200.0))

@@ -358,9 +358,8 @@ _HIGH = "CASE fmt WHEN 8 THEN 127 WHEN 80 THEN 127 WHEN 16 THEN 32767 WHEN 24 TH
 
 
 def _scales(spark: SparkSession, d: str) -> DataFrame:
-    c = channels(spark, d).withColumn("label", text.standard_label(F.col("label")))
-    pick = lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), F.col("number")))
-    return c.groupBy("record_id", "label").agg(pick("adc_gain").alias("gain"), pick("adc_baseline").alias("base"), F.max("storage_format").alias("fmt"))
+    """By labels in standard form, as the SQL has it; ``llm.queries`` has the same queries with typed labels resolved."""
+    return ch.scales(channels(spark, d))
 
 
 @query(f"WITH {_COUNTS}, {_C}, {_USED} SELECT v.record_id, v.sample, v.label, round((value - coalesce(base, 0)) / (CASE WHEN gain = 0 THEN 1 ELSE coalesce(gain, 200) END), 6) AS physical FROM v JOIN u USING (record_id, label)")

@@ -21,3 +21,16 @@ def test_same_rows(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.SQL)))
 def test_runs(spark, name):
     assert q.QUERIES[name](spark, TINY).count() >= 0
+
+
+def test_converters_give_every_reading(spark, con):
+    """Channels with typed labels ('ECG II') count, with the gain of their own header."""
+    from leadframe.plans import signals
+
+    counts, readings = signals.counts(spark, TINY), signals.readings(spark, TINY)
+    assert q.digital_to_physical_all(spark, TINY).count() == counts.count() and q.physical_to_digital_all(spark, TINY).count() == readings.count()
+    c = spark.createDataFrame([("r", 1, "ECG II", 100.0, 5, 16), ("r", 2, "v1", 50.0, None, 212), ("r", 3, "V 01", 7.0, 3, 16)], "record_id string, number int, label string, adc_gain double, adc_baseline int, storage_format int")
+    meant = spark.createDataFrame([("ECG II", "II"), ("V 01", "V1"), ("n/c", None)], "label string, canonical string")
+    got = {r["label"]: (r["gain"], r["base"]) for r in q.ch.scales(c, meant).collect()}
+    assert got == {"II": (100.0, 5), "V1": (50.0, 3)}
+    assert {r["label"] for r in q.ch.scales(c).collect()} == {"ECG II", "V1", "V 01"}
