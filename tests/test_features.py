@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from leadframe.functions import dims, dsp
 from leadframe.functions.text import elapsed, elapsed_short, make_unique
 from leadframe.operators import channels as ch
 from leadframe.operators import rhythm, waveforms
+from leadframe.plans import signals
 from leadframe.streaming.rhythm import stream_windows
 
 
@@ -291,3 +293,20 @@ def test_excerpts(spark):
     out = {r["excerpt"]: r["dominant_frequency"] for r in waveforms.dominant_frequency(df, excerpt_s=10.0).collect()}
     assert out == {k: dsp.dominant_frequency(x[2500 * k : 2500 * (k + 1)], 250.0) for k in (0, 1)}
     assert waveforms.f_waves(df, excerpt_s=10.0).count() == 2 and waveforms.f_waves(df).count() == 1
+
+
+def _long_table(spark, folder):
+    """A lead of 150 s in the tables that queries read."""
+    x, _ = _beats(100, 150)
+    spark.createDataFrame([("r", "II", i, float(v), 0) for i, v in enumerate(x)], "record_id string, label string, sample int, mv double, batch_no int").write.parquet(f"{folder}/ggm.parquet")
+    spark.createDataFrame([("r", 100.0)], "record_id string, frequency double").write.parquet(f"{folder}/records.parquet")
+    return x
+
+
+@pytest.mark.parametrize("method", ["adaptive_svd", "ica"])
+def test_features_of_the_whole_lead(spark, tmp_path, method):
+    x = _long_table(spark, tmp_path)
+    query = signals.f_wave_features if method == "adaptive_svd" else signals.f_wave_features_ica
+    got = query(spark, str(tmp_path)).collect()
+    want = dsp.atrial_features(x, 100.0, ("amplitude", "dominant_frequency"), method, zlib.crc32(repr(("r", "II")).encode()))
+    assert len(got) == 1 and got[0]["amplitude"] == pytest.approx(want["amplitude"]) and got[0]["dominant_rate"] == pytest.approx(want["dominant_rate"])
