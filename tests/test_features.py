@@ -310,3 +310,9 @@ def test_features_of_the_whole_lead(spark, tmp_path, method):
     got = query(spark, str(tmp_path)).collect()
     want = dsp.atrial_features(x, 100.0, ("amplitude", "dominant_frequency"), method, zlib.crc32(repr(("r", "II")).encode()))
     assert len(got) == 1 and got[0]["amplitude"] == pytest.approx(want["amplitude"]) and got[0]["dominant_rate"] == pytest.approx(want["dominant_rate"])
+
+
+def test_dominant_frequency_of_the_whole_channel(spark, tmp_path):
+    x = _long_table(spark, tmp_path)
+    got = signals.dominant_frequency(spark, str(tmp_path)).collect()
+    assert [r["dominant_frequency"] for r in got] == [dsp.dominant_frequency(x, 100.0)]
