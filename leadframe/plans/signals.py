@@ -627,6 +627,12 @@ def approx_entropy(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("approximate_entropy", F.round("approximate_entropy", 6))
 
 
+@query()
+def approx_entropy_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Every whole channel, with the default tolerance."""
+    return waveforms.approximate_entropy(readings(spark, d).filter("abs(mv) < 50"))
+
+
 @query(
     """WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
 l AS (SELECT vec_id, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM e GROUP BY ALL),

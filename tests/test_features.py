@@ -316,3 +316,22 @@ def test_dominant_frequency_of_the_whole_channel(spark, tmp_path):
     x = _long_table(spark, tmp_path)
     got = signals.dominant_frequency(spark, str(tmp_path)).collect()
     assert [r["dominant_frequency"] for r in got] == [dsp.dominant_frequency(x, 100.0)]
+
+
+def _phi(x, m, r):
+    v = np.lib.stride_tricks.sliding_window_view(x, m)
+    return np.mean([math.log(np.mean(np.abs(v - w).max(axis=1) <= r)) for w in v])
+
+
+def test_entropy_of_whole_channels(spark, tmp_path):
+    x = _long_table(spark, tmp_path)[:1500]
+    table = spark.read.parquet(f"{tmp_path}/ggm.parquet").filter("sample < 1500")
+    table.write.parquet(f"{tmp_path}/short/ggm.parquet")
+    got = signals.approx_entropy_channels(spark, f"{tmp_path}/short").collect()
+    r = 3.5 * x.std(ddof=1)
+    assert [q["approximate_entropy"] for q in got] == [pytest.approx(_phi(x, 3, r) - _phi(x, 4, r), abs=1e-12)]
+    for r in (0.05, 1.0):
+        blocks = waveforms.approximate_entropy(table, 3, r, block=400).collect()
+        assert [q["approximate_entropy"] for q in blocks] == [pytest.approx(_phi(x, 3, r) - _phi(x, 4, r), abs=1e-12)]
+    few = spark.createDataFrame([("a", "I", i, 1.0) for i in range(3)] + [("b", "I", i, math.nan) for i in range(9)], "record_id string, label string, sample int, mv double")
+    assert [q["approximate_entropy"] for q in waveforms.approximate_entropy(few).collect()] == [None, None]
