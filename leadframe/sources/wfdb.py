@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from leadframe.functions.text import standard_label, start_time
+from leadframe.operators.durable import durable
 from leadframe.sources import wfdb_format as fmt
 
 #: Frames that one task reads.
@@ -278,11 +279,32 @@ def write_annotations(annotations: DataFrame, folder: str, annotator: str, key:
 # ---- writer ----------------------------------------------------------------------------------------------------------
 
 
+def _numbered(signal: DataFrame, channels: DataFrame) -> DataFrame:
+    """(record_id, label, number) for every label of the signal, null ones too; ValueError if one has no channel."""
+    blank = F.trim(F.coalesce("label", F.lit(""))) == ""
+    every = Window.partitionBy("record_id")
+    own = channels.select("record_id", "number", F.when(F.bool_and(blank).over(every), F.concat(F.lit("CH"), "number")).otherwise(F.coalesce(standard_label(F.col("label")), F.lit(""))).alias("label"))
+    has = own.groupBy("record_id").agg(F.collect_list(F.struct("number", "label")).alias("_own"))
+    given = signal.groupBy("record_id").agg(F.collect_set(F.coalesce(standard_label(F.col("label")), F.lit(""))).alias("_given"))
+    both = given.join(has, "record_id", "left").withColumn("_own", F.coalesce("_own", F.array().cast(dict(has.dtypes)["_own"])))
+    named = lambda c: F.transform(c, lambda x: x["label"])
+    both = both.withColumn("_over", F.array_except("_given", named("_own"))).withColumn("_free", F.filter("_own", lambda x: ~F.array_contains("_given", x["label"])))
+    both = durable(both)
+    # A long table has no order of columns, so places are known only where one label and one channel are left.
+    lost = both.filter((F.size("_over") > 0) & ((F.size("_over") > 1) | (F.size("_free") != 1) | (F.size("_given") != F.size("_own")))).select("record_id", "_over").head()
+    if lost:
+        raise ValueError(f"{lost['record_id']}: no channel for the signal's label {', '.join(sorted(lost['_over'])) or '(none)'}")
+    matched = both.select("record_id", F.explode(F.filter("_own", lambda x: F.array_contains("_given", x["label"]))).alias("_c")).select("record_id", "_c.label", "_c.number")
+    left = both.filter(F.size("_over") == 1).select("record_id", F.col("_over")[0].alias("label"), F.col("_free")[0]["number"].alias("number"))
+    return matched.unionByName(left)
+
+
 def write_records(signal: DataFrame, records: DataFrame, channels: DataFrame, folder: str, units: str = "digital") -> DataFrame:
     """``<record>.dat`` and ``<record>.hea`` per record; returns (record_id, path, frames).
 
-    ``signal`` is long; labels are matched with the channels' in standard form, a channel without samples holds 0. In
-    physical units counts are value * gain + baseline, rounded half away from zero; all counts are held in the range of
+    ``signal`` is long; labels are matched with the channels' in standard form (channels without any label are CH1, CH2,
+    ...). If as many labels as channels are there and one of each is left, these go together; any other label without a
+    channel is an error. A channel without samples holds 0. In physical units counts are value * gain + baseline, rounded half away from zero; all counts are held in the range of
     the channel's format. A record's rows are sorted in one task and written as they stream by, so that its length does
     not matter; files are written aside and then renamed, so that a repeated task does no harm.
     """
@@ -291,8 +313,9 @@ def write_records(signal: DataFrame, records: DataFrame, channels: DataFrame, fo
     heads = c.groupBy("record_id").agg(F.to_json(F.array_sort(F.collect_list("_c"), lambda a, b: a["number"] - b["number"])).alias("channels"))
     info = F.to_json("info") if "info" in records.columns else F.lit("[]")
     heads = heads.join(records.select("record_id", "record_name", "frequency", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"), info.alias("info")), "record_id")
-    order = channels.select("record_id", standard_label(F.col("label")).alias("label"), "number", "adc_gain", "adc_baseline")
-    s = signal.select("record_id", "sample", standard_label(F.col("label")).alias("label"), "value").join(order, ["record_id", "label"])
+    order = _numbered(signal, channels).join(channels.select("record_id", "number", "adc_gain", "adc_baseline"), ["record_id", "number"])
+    label = F.coalesce(standard_label(F.col("label")), F.lit("")).alias("label")
+    s = signal.select("record_id", "sample", label, "value").join(order, ["record_id", "label"])
     if units == "physical":
         s = s.withColumn("value", F.col("value") * F.coalesce("adc_gain", F.lit(200.0)) + F.coalesce("adc_baseline", F.lit(0)))
     frames = s.groupBy("record_id", "sample").agg(F.map_from_entries(F.collect_list(F.struct("number", F.round("value").cast("bigint").alias("v")))).alias("v"))

@@ -161,3 +161,15 @@ def test_muse(spark, tmp_path):
     i, ii = 3 * 4.88, -32768 * 4.88
     assert np.allclose([v["III", 3], v["AVR", 3], v["AVL", 3], v["AVF", 3], v["V1", 1]], [ii - i, -(i + ii) / 2, i - ii / 2, ii - i / 2, 5 * 4.88])
     assert channels.count() == 12
+
+
+def test_written_labels_have_a_channel(spark, tmp_path):
+    """Samples under a label of their own are written to the channel left over, never as zeros; without one it is an error."""
+    records, channels = api.header_table(spark, ["I", "ECG II"], "r", 250.0, 3)
+    write = lambda labels, k: wfdb.write_records(api.signal_table(spark, {"sample": [0, 1, 2]} | {x: [float(10 * i + j) for j in range(1, 4)] for i, x in enumerate(labels)}, "r"), records, channels, str(tmp_path / k))
+    write(["I", "II"], "a")
+    got = {r["label"]: r["v"] for r in wfdb.read_signal(spark, str(tmp_path / "a")).groupBy("label").agg(F.array_sort(F.collect_list("value")).alias("v")).collect()}
+    assert sorted(got.values()) == [[1, 2, 3], [11, 12, 13]]
+    for bad in (["V1", "V2"], ["I", "ECG II", "V1"]):
+        with pytest.raises(ValueError):
+            write(bad, "b")
