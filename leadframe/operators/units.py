@@ -122,8 +122,8 @@ def counts_per_mv(
 
     ``basis`` says where the scale comes from: range, stated (in the units or the info text), fitted, or null. With a
     usable range and saturation the range decides. Otherwise a usable gain (finite, above 0) is read in its stated unit;
-    where none is stated, by the fitted mixture, in which ``default`` has ``default_weight`` pseudo-counts a bin: a
-    convention that is stated for missing units. A row whose best unit has a posterior under ``sure`` is ``uncertain``.
+    where none is stated, by the fitted mixture, in which ``default`` has ``default_weight`` pseudo-counts an
+    open row and the other units none: a convention that is stated for missing units decides. Without it all have the same few. A row whose best unit has a posterior under ``sure`` is ``uncertain``.
     Channels of another quantity, or with neither, keep a null scale. Nulls, nan, zero and negative numbers are unusable.
 
     The fit reads a histogram of log10 gains (``bins_per_decade``; under 62,000 bins over all of double), to which every
@@ -153,7 +153,8 @@ def counts_per_mv(
     if left:
         b, n = np.array(left, float).T
         k, kn = np.array(pick, float).T if pick else (np.zeros(0), np.zeros(0))
-        prior = np.array([1.0 + (default_weight * n.sum() if u == default else 0.0) for u in names])
+        # Proportions of the open rows, so that the number of rows does not matter; a stated convention leaves no other unit.
+        prior = n.sum() * np.array([default_weight * (u == default) for u in names] if default in names and default_weight > 0 else [1e-3] * len(names))
         shifts = np.array([-math.log10(PER_MV[u]) for u in names])
         _, post, _ = fit_shifted_mixture(k, kn, b / bins_per_decade, n, shifts, prior)
         best = post.argmax(axis=1)

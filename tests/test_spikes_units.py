@@ -110,3 +110,11 @@ def test_mixture_finds_missing_units(spark):
     assert np.mean(right) >= 0.95
     odd = units.counts_per_mv(_channels(spark, [*known, (30.0, None, None, None, None, None, None)]), default=None).filter(F.col("basis") == "fitted").first()
     assert odd["uncertain"]
+
+
+@pytest.mark.parametrize("n", [50, 2000])
+def test_stated_convention_decides_at_any_size(spark, n):
+    known = [(300.0, "mV", None, None, None, None, None)] * 200
+    rows = known + [(300.0, None, None, None, None, None, None)] * n + [(0.3, None, None, None, None, None, None)]
+    odd = units.counts_per_mv(_channels(spark, rows)).filter("adc_gain = 0.3").first()
+    assert odd["unit"] == "mV" and abs(odd["scale_mv"] - 0.3) < 1e-9
