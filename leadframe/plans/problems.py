@@ -142,6 +142,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(g, ["record_id", "label"], "sample", "mv").select("record_id", "label", "sample").distinct()
 
 
+def p6_hampel(spark: SparkSession, d: str) -> DataFrame:
+    """Every reading that the Hampel filter objects to, with production settings."""
+    g = table(spark, d, "ggm", "record_id", "label", "sample", "mv")
+    return spikes.scan(g, ["record_id", "label"], "sample", "mv").filter("hampel").select("record_id", "label", "sample").distinct()
+
+
+P6_HAMPEL_SQL = """WITH g AS (SELECT DISTINCT record_id, label, sample, mv FROM ggm WHERE mv IS NOT NULL),
+w AS (SELECT record_id, label, sample, mv, list(CASE WHEN isfinite(mv) THEN mv END) OVER (PARTITION BY record_id, label ORDER BY sample, mv ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS v FROM g),
+m AS (SELECT *, list_median(list_filter(v, lambda a: a IS NOT NULL)) AS med FROM w)
+SELECT DISTINCT record_id, label, sample FROM m WHERE isfinite(mv) AND abs(mv - med) > 3 * 1.4826 * list_median(list_transform(list_filter(v, lambda a: a IS NOT NULL), lambda a: abs(a - med)))"""
+
+
 def _isolation_sql() -> str:
     """The largest least distance over the runs of up to three readings that a reading is in."""
     at = lambda k: "mv" if k == 0 else f"lag(mv, {-k}) OVER w" if k < 0 else f"lead(mv, {k}) OVER w"
@@ -206,10 +218,10 @@ WHERE scale IS NOT NULL AND (by_range IS NOT NULL OR per <> 1.0 OR (inverse AND
 
 QUERIES = {
     "p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_loaded": p3_loaded, "p5_found": p5_found,
-    "p6_found": p6_found, "p7_found": p7_found, "p7_scales": p7_scales,
+    "p6_found": p6_found, "p6_hampel": p6_hampel, "p7_found": p7_found, "p7_scales": p7_scales,
 }
 
 SQL = {
     "p2_found": P2_FOUND_SQL, "p2_periods": P2_PERIODS_SQL, "p3_found": P3_FOUND_SQL, "p3_loaded": P3_LOADED_SQL, "p5_found": P5_FOUND_SQL,
-    "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL,
+    "p6_found": P6_FOUND_SQL, "p6_hampel": P6_HAMPEL_SQL, "p7_found": P7_FOUND_SQL,
 }
