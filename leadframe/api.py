@@ -355,13 +355,13 @@ def _with_rate(x: Recording) -> DataFrame:
     return x.signal.join(x.records.select("record_id", "frequency"), "record_id")
 
 
-def extract_f_waves(x: Recording, lead: str | None = None, qrs_method: str = "adaptive_svd", f_characteristics: Sequence[str] = ("amplitude",), every: bool = False, excerpt_s: float | None = None) -> DataFrame:
+def extract_f_waves(x: Recording, lead: str | None = None, qrs_method: str = "adaptive_svd", f_characteristics: Sequence[str] = ("amplitude",), every: bool = False, excerpt_s: float | None = None, **options: object) -> DataFrame:
     """Atrial features per surface lead (of all leads for a 12-lead recording or with ``every``), of the whole
-    lead or by excerpts of so many seconds."""
+    lead or by excerpts of so many seconds. ``options``: m and r of the entropy, f_min and f_max of the frequency."""
     leads = _ch.surface_leads(x.channels, lead=lead, every=every or x.twelve_lead).select("record_id", "label").distinct()
     if lead is not None and not leads.take(1):
         raise ValueError(f"no such lead: {lead}")
-    return _wave.f_waves(_with_rate(x).join(leads, ["record_id", "label"]), f_characteristics, qrs_method, "value", excerpt_s=excerpt_s)
+    return _wave.f_waves(_with_rate(x).join(leads, ["record_id", "label"]), f_characteristics, qrs_method, "value", excerpt_s=excerpt_s, **options)
 
 
 def detect_qrs(x: Recording, window_s: float = 0.150, mode: str = "rising") -> DataFrame:
@@ -371,5 +371,5 @@ def detect_qrs(x: Recording, window_s: float = 0.150, mode: str = "rising") -> D
 detect_QRS = dsp.detect_qrs  # noqa: N816
 calculate_approximate_entropy = dsp.approximate_entropy
 calculate_dominant_frequency = dsp.dominant_frequency
-analyze_atrial_signal = dsp.atrial_features
+analyze_atrial_signal = dsp.analyze_atrial_signal
 elapsed_time, elapsed_time_short = elapsed, elapsed_short

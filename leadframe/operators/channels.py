@@ -136,11 +136,11 @@ FORMAT_RANGE = {8: (-128, 127), 80: (-128, 127), 16: (-32768, 32767), 24: (-8388
 
 
 def to_digital(value: Column, gain: Column, baseline: Column, storage_format: Column) -> Column:
-    """Counts: value * gain + baseline, rounded half away from zero, held within the range of the storage format."""
+    """Counts: value * gain + baseline, rounded half away from zero, held within the range of the storage format; a null stays."""
     counts = F.round(value * F.coalesce(gain, F.lit(200.0)) + F.coalesce(baseline, F.lit(0)))
     low = reduce(lambda acc, kv: F.when(storage_format == kv[0], kv[1][0]).otherwise(acc), FORMAT_RANGE.items(), F.lit(None).cast("int"))
     high = reduce(lambda acc, kv: F.when(storage_format == kv[0], kv[1][1]).otherwise(acc), FORMAT_RANGE.items(), F.lit(None).cast("int"))
-    return F.greatest(F.least(counts, high), low).cast("int")
+    return F.when(counts.isNotNull(), F.greatest(F.least(counts, high), low)).cast("int")
 
 
 def derived_leads(wide: DataFrame, one: str = "i", two: str = "ii") -> DataFrame:

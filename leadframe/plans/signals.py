@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadframe.functions import text
 from leadframe.functions.dims import ANNOTATIONS, LABELS, LEADS, PALETTE, SURFACE, annotation_dim
+from leadframe.functions.expr import sound
 from leadframe.operators import annotations as ann_ops
 from leadframe.operators import channels as ch
 from leadframe.operators import rhythm, units, waveforms
@@ -24,9 +25,8 @@ def annotations(spark: SparkSession, d: str, annotator: str | None = None) -> Da
 
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
-    """Readings in mV that are there and finite."""
-    g = table(spark, d, "ggm", "record_id", "label", "sample", "mv")
-    return g.filter(F.col("mv").isNotNull() & (F.abs("mv") < float("inf"))).filter(~F.isnan("mv")).distinct()
+    """All readings in mV, each in its place; one that is not finite is null."""
+    return table(spark, d, "ggm", "record_id", "label", "sample", sound("mv", None).alias("mv")).distinct()
 
 
 def channels(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,9 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 _COLUMN_LABEL = {"i": "I", "ii": "II", "v1": "V1", "cs_1_2": "CS 1-2", "rv_1_2": "RV 1-2", "abl_d": "ABL D"}
 
 _A = "a AS (SELECT DISTINCT ann_id, record_id, annotator, time, sample, type, subtype, channel, number FROM annotation_table)"
-_G = "g AS (SELECT DISTINCT record_id, label, sample, mv FROM ggm WHERE mv IS NOT NULL AND isfinite(mv))"
+_G = "g AS (SELECT DISTINCT record_id, label, sample, CASE WHEN isfinite(mv) THEN mv END AS mv FROM ggm)"
+#: Along a channel a reading beyond 50 mV keeps its place and is missing.
+_S = "f AS (SELECT record_id, label, sample, CASE WHEN abs(mv) <= 50 THEN mv END AS mv FROM g)"
 _C = "c AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM header_table)"
 _R = "r AS (SELECT DISTINCT record_id, frequency FROM records)"
 
@@ -270,10 +272,12 @@ def qrs_neighbourhoods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _normalized_sql(method: str, target: int, preserve: bool, centred: bool = False) -> str:
+    if method == "spline":
+        return _spline_sql(target)
     value = {"linear": "v[k + 1] + CASE WHEN x > k THEN (x - k) * (v[k + 2] - v[k + 1]) ELSE 0 END", "step": "v[CAST(floor(x + 1e-9) AS BIGINT) + 1]"}[method]
     out = "CASE WHEN hi > lo THEN (y - lo) / (hi - lo) * (list_max(v) - list_min(v)) + list_min(v) ELSE y END" if preserve else "y"
     return f"""WITH {_windows_sql(True, True)}, {_G},
-s AS (SELECT g.record_id, w.window_id, g.label, list(g.mv ORDER BY g.sample, g.mv) AS v FROM g JOIN w ON g.record_id = w.record_id AND g.sample BETWEEN w.onset AND w."offset" GROUP BY ALL),
+s AS (SELECT g.record_id, w.window_id, g.label, list(g.mv ORDER BY g.sample, g.mv) AS v FROM g JOIN w ON g.record_id = w.record_id AND g.sample BETWEEN w.onset AND w."offset" WHERE g.mv IS NOT NULL GROUP BY ALL),
 f AS (SELECT w.record_id, w.window_id, {f"min(a.sample) - w.onset + 1 - {-(-target // 2)}" if centred else "0"} AS shift FROM w JOIN a ON a.record_id = w.record_id AND a.sample BETWEEN w.onset AND w."offset"
   WHERE a.annotator = 'ecgpuwave' AND a.type = 'N' GROUP BY w.record_id, w.window_id, w.onset),
 p AS (SELECT s.*, i, greatest(0.0, least(i * (len(v) - 1) / {target - 1}.0 + shift, len(v) - 1.0)) AS x FROM s JOIN f USING (record_id, window_id), unnest(range(0, {target})) t(i)),
@@ -283,6 +287,20 @@ z AS (SELECT *, min(y) OVER g AS lo, max(y) OVER g AS hi FROM y WINDOW g AS (PAR
 SELECT record_id, window_id, label, CAST(i + 1 AS INTEGER) AS sample, round({out}, 6) AS mv FROM z"""
 
 
+def _spline_sql(target: int) -> str:
+    """Natural cubic splines by the inverse of their system in closed form, cut where it has fallen below 1e-23."""
+    t = "ln(2 + sqrt(3))"
+    green = f"CASE WHEN (a + b) % 2 = 0 THEN 1 ELSE -1 END * exp(-abs(a - b) * {t}) * (1 - exp(-2 * least(a, b) * {t})) * (1 - exp(-2 * (n - 1 - greatest(a, b)) * {t})) / (1 - exp(-2 * (n - 1) * {t})) / (2 * sqrt(3))"
+    return f"""WITH {_windows_sql(True, True)}, {_G},
+s AS (SELECT g.record_id, w.window_id, g.label, list(g.mv ORDER BY g.sample, g.mv) AS v, count(*) AS n FROM g JOIN w ON g.record_id = w.record_id AND g.sample BETWEEN w.onset AND w."offset" WHERE g.mv IS NOT NULL GROUP BY ALL),
+second AS (SELECT record_id, window_id, label, a, sum({green} * 6 * (v[b + 2] - 2 * v[b + 1] + v[b])) AS m FROM s, unnest(range(1, n - 1)) x(a), unnest(range(greatest(a - 40, 1), least(a + 40, n - 2) + 1)) y(b) GROUP BY ALL),
+p AS (SELECT s.*, i, i * (n - 1) / {target - 1}.0 AS x, greatest(least(CAST(floor(x) AS BIGINT), n - 2), 0) AS k, x - k AS u FROM s, unnest(range(0, {target})) t(i)),
+y AS (SELECT p.record_id, p.window_id, p.label, i, n, v, CASE WHEN n = 1 THEN v[1] ELSE (1 - u) * v[k + 1] + u * v[k + 2] + (pow(1 - u, 3) - (1 - u)) * coalesce(l.m, 0) / 6 + (pow(u, 3) - u) * coalesce(h.m, 0) / 6 END AS y
+  FROM p LEFT JOIN second l ON l.record_id = p.record_id AND l.window_id = p.window_id AND l.label = p.label AND l.a = p.k LEFT JOIN second h ON h.record_id = p.record_id AND h.window_id = p.window_id AND h.label = p.label AND h.a = p.k + 1),
+z AS (SELECT *, min(y) OVER g AS lo, max(y) OVER g AS hi FROM y WINDOW g AS (PARTITION BY record_id, window_id, label))
+SELECT record_id, window_id, label, CAST(i + 1 AS INTEGER) AS sample, round(CASE WHEN hi > lo THEN (y - lo) / (hi - lo) * (list_max(v) - list_min(v)) + list_min(v) ELSE y END, 6) AS mv FROM z"""
+
+
 def _normalized(spark: SparkSession, d: str, **options) -> DataFrame:
     w = ann_ops.window_signal(readings(spark, d), _windows(spark, d))
     return waveforms.time_normalized(w, **options).withColumn("mv", F.round("mv", 6))
@@ -303,7 +321,7 @@ def amplitude_rescale(spark: SparkSession, d: str) -> DataFrame:
     return _normalized(spark, d, target=50)
 
 
-@query()
+@query(_normalized_sql("spline", 50, True))
 def time_normalize_spline(spark: SparkSession, d: str) -> DataFrame:
     return _normalized(spark, d, target=50, method="spline")
 
@@ -366,7 +384,7 @@ def digital_to_physical(spark: SparkSession, d: str) -> DataFrame:
     return s.select("record_id", "sample", "label", F.round(ch.to_physical(F.col("value"), F.col("gain"), F.col("base")), 6).alias("physical"))
 
 
-@query(f"WITH {_G}, {_C}, {_USED} SELECT record_id, sample, label, CAST(greatest(least(round(mv * coalesce(gain, 200) + coalesce(base, 0)), {_HIGH}), -{_HIGH} - 1) AS INTEGER) AS digital FROM g JOIN u USING (record_id, label)")
+@query(f"WITH {_G}, {_C}, {_USED} SELECT record_id, sample, label, CASE WHEN mv IS NOT NULL THEN CAST(greatest(least(round(mv * coalesce(gain, 200) + coalesce(base, 0)), {_HIGH}), -{_HIGH} - 1) AS INTEGER) END AS digital FROM g JOIN u USING (record_id, label)")
 def physical_to_digital_clamped(spark: SparkSession, d: str) -> DataFrame:
     s = readings(spark, d).join(_scales(spark, d), ["record_id", "label"])
     return s.select("record_id", "sample", "label", ch.to_digital(F.col("mv"), F.col("gain"), F.col("base"), F.col("fmt")).alias("digital"))
@@ -385,11 +403,11 @@ def pivot_wide(spark: SparkSession, d: str) -> DataFrame:
     return w.select("record_id", "sample", F.round("I", 6).alias("lead_i"), F.round("II", 6).alias("lead_ii"), F.round("V1", 6).alias("lead_v1"))
 
 
-@query(f"WITH {_G} SELECT record_id, label, min(sample) AS first_sample, count(*) AS n, round(sum(mv) + 1e-7, 3) AS total FROM g GROUP BY ALL")
+@query(f"WITH {_G} SELECT record_id, label, min(sample) AS first_sample, count(*) AS n, round(sum(mv), 6) AS total FROM g GROUP BY ALL")
 def signal_arrays(spark: SparkSession, d: str) -> DataFrame:
     a = ch.signal_arrays(readings(spark, d), value="mv")
-    total = F.aggregate("values", F.lit(0.0), lambda acc, x: acc + x)
-    return a.select("record_id", "label", "first_sample", F.size("values").cast("bigint").alias("n"), F.round(total + 1e-7, 3).alias("total"))
+    total = F.aggregate(F.array_compact("values"), F.lit(0.0), lambda acc, x: acc + x)
+    return a.select("record_id", "label", "first_sample", F.size("values").cast("bigint").alias("n"), F.round(F.when(F.size(F.array_compact("values")) > 0, total), 6).alias("total"))
 
 
 @query(
@@ -501,15 +519,15 @@ _BY = "PARTITION BY record_id, label ORDER BY sample, mv"
 
 
 @query(
-    f"WITH {_G} SELECT record_id, label, count(*) AS n, round(sqrt(avg(mv * mv)), 6) AS rms, round(avg(mv), 6) AS mean, round(stddev_samp(mv), 6) AS sd, round(avg(mv) + 0.5 * stddev_samp(mv), 6) AS qrs_threshold, "
-    "round(3.5 * stddev_samp(mv), 6) AS entropy_tolerance, round(quantile_cont(mv, 0.99), 6) AS q99, round(min(mv), 6) AS least, round(max(mv), 6) AS greatest, round(avg(abs(mv)), 6) AS mean_abs FROM g WHERE abs(mv) < 1e6 GROUP BY ALL"
+    f"WITH {_G} SELECT record_id, label, count(mv) AS n, round(sqrt(avg(mv * mv)), 6) AS rms, round(avg(mv), 6) AS mean, round(stddev_samp(mv), 6) AS sd, round(avg(mv) + 0.5 * stddev_samp(mv), 6) AS qrs_threshold, "
+    "round(3.5 * stddev_samp(mv), 6) AS entropy_tolerance, round(quantile_cont(mv, 0.99), 6) AS q99, round(min(mv), 6) AS least, round(max(mv), 6) AS greatest, round(avg(abs(mv)), 6) AS mean_abs FROM g GROUP BY ALL"
 )
 def channel_statistics(spark: SparkSession, d: str) -> DataFrame:
-    s = rhythm.channel_stats(readings(spark, d).filter("abs(mv) < 1e6"))
+    s = rhythm.channel_stats(readings(spark, d))
     return s.select("record_id", "label", "n", *(F.round(c, 6).alias(c) for c in s.columns[3:]))
 
 
-@query(f"WITH {_G}, k AS (SELECT *, row_number() OVER (PARTITION BY record_id, label ORDER BY mv DESC, sample) AS k FROM g) SELECT record_id, label, sample, mv AS greatest FROM k WHERE k = 1")
+@query(f"WITH {_G}, k AS (SELECT *, row_number() OVER (PARTITION BY record_id, label ORDER BY mv DESC, sample) AS k FROM g WHERE mv IS NOT NULL) SELECT record_id, label, sample, mv AS greatest FROM k WHERE k = 1")
 def channel_argmax(spark: SparkSession, d: str) -> DataFrame:
     return rhythm.argmax(readings(spark, d))
 
@@ -525,43 +543,47 @@ def local_maxima_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_G}, f AS (SELECT * FROM g WHERE abs(mv) < 50), k AS (SELECT record_id, label, sample, abs(mv) AS x, lag(abs(mv)) OVER w AS p, lead(abs(mv)) OVER w AS n FROM f WINDOW w AS (PARTITION BY record_id, label ORDER BY sample, mv)), "
+    f"WITH {_G}, {_S}, k AS (SELECT record_id, label, sample, abs(mv) AS x, lag(abs(mv)) OVER w AS p, lead(abs(mv)) OVER w AS n FROM f WINDOW w AS (PARTITION BY record_id, label ORDER BY sample, mv)), "
     "l AS (SELECT record_id, label, avg(abs(mv)) + 2 * stddev_samp(abs(mv)) AS l FROM f GROUP BY ALL) SELECT record_id, label, sample FROM k JOIN l USING (record_id, label) WHERE x > p AND x > n AND x > l"
 )
 def find_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return rhythm.find_peaks(readings(spark, d).filter("abs(mv) < 50")).select("record_id", "label", "sample")
+    return rhythm.find_peaks(readings(spark, d)).select("record_id", "label", "sample")
 
 
 @query(
-    f"WITH {_G}, f AS (SELECT * FROM g WHERE abs(mv) < 50), k AS (SELECT record_id, label, abs(mv) AS x, lag(abs(mv)) OVER w AS p, lead(abs(mv)) OVER w AS n FROM f WINDOW w AS (PARTITION BY record_id, label ORDER BY sample, mv)), "
+    f"WITH {_G}, {_S}, k AS (SELECT record_id, label, abs(mv) AS x, lag(abs(mv)) OVER w AS p, lead(abs(mv)) OVER w AS n FROM f WINDOW w AS (PARTITION BY record_id, label ORDER BY sample, mv)), "
     "l AS (SELECT record_id, label, avg(abs(mv)) + 2 * stddev_samp(abs(mv)) AS l FROM f GROUP BY ALL) SELECT record_id, label, count(*) AS peaks, round(avg(x), 9) AS mean_abs_peak FROM k JOIN l USING (record_id, label) WHERE x > p AND x > n AND x > l GROUP BY ALL"
 )
 def mean_abs_peak(spark: SparkSession, d: str) -> DataFrame:
-    p = rhythm.find_peaks(readings(spark, d).filter("abs(mv) < 50"))
+    p = rhythm.find_peaks(readings(spark, d))
     return p.groupBy("record_id", "label").agg(F.count(F.lit(1)).alias("peaks"), F.round(F.avg(F.abs("mv")), 9).alias("mean_abs_peak"))
 
 
 @query(
-    f"WITH {_G}, {_R} SELECT record_id, label, sample, round((-mv - 2 * coalesce(lag(mv, 1) OVER w, 0) + 2 * coalesce(lag(mv, 3) OVER w, 0) + coalesce(lag(mv, 4) OVER w, 0)) * frequency / 8, 9) AS slope FROM g JOIN r USING (record_id) WHERE abs(mv) < 50 WINDOW w AS ({_BY})"
+    f"WITH {_G}, {_S}, {_R} SELECT record_id, label, sample, round((-coalesce(mv, 0) - 2 * coalesce(lag(mv, 1) OVER w, 0) + 2 * coalesce(lag(mv, 3) OVER w, 0) + coalesce(lag(mv, 4) OVER w, 0)) * frequency / 8, 9) AS slope FROM f JOIN r USING (record_id) WINDOW w AS ({_BY})"
 )
 def derivative_fir(spark: SparkSession, d: str) -> DataFrame:
-    s = rhythm.derivative(readings(spark, d).filter("abs(mv) < 50").join(rates(spark, d), "record_id"))
+    s = rhythm.derivative(readings(spark, d).join(rates(spark, d), "record_id"))
     return s.select("record_id", "label", "sample", F.round("slope", 9).alias("slope"))
 
 
-@query(f"WITH {_G} SELECT record_id, label, sample, round(sum(mv) OVER (PARTITION BY record_id, label ORDER BY sample, mv ROWS BETWEEN 149 PRECEDING AND CURRENT ROW) / 150 + 1e-10, 6) AS integral FROM g WHERE abs(mv) < 50")
+@query(
+    f"WITH {_G}, {_S}, {_R}, n AS (SELECT f.*, CAST(greatest(round_even(0.15 * frequency, 0), 1) AS BIGINT) AS len, sum(coalesce(mv, 0)) OVER w AS upto, row_number() OVER w AS k FROM f JOIN r USING (record_id) WHERE frequency > 0 WINDOW w AS ({_BY} ROWS UNBOUNDED PRECEDING)) "
+    "SELECT a.record_id, a.label, a.sample, round((a.upto - coalesce(b.upto, 0)) / a.len, 5) AS integral FROM n a LEFT JOIN n b ON a.record_id = b.record_id AND a.label = b.label AND b.k = a.k - a.len"
+)
 def moving_integration(spark: SparkSession, d: str) -> DataFrame:
-    s = rhythm.moving_integral(readings(spark, d).filter("abs(mv) < 50"), "mv", 150)
-    return s.select("record_id", "label", "sample", F.round(F.col("integral") + 1e-10, 6).alias("integral"))
+    """Over 150 ms of each record's own rate."""
+    s = rhythm.moving_integral_s(_rated(spark, d), "mv")
+    return s.select("record_id", "label", "sample", F.round("integral", 5).alias("integral"))
 
 
-_RISING = f"""{_G}, f AS (SELECT * FROM g WHERE abs(mv) < 50), k AS (SELECT *, lag(mv) OVER w AS p, lead(mv) OVER w AS n FROM f WINDOW w AS ({_BY})),
+_RISING = f"""{_G}, {_S}, k AS (SELECT *, lag(mv) OVER w AS p, lead(mv) OVER w AS n FROM f WINDOW w AS ({_BY})),
 l AS (SELECT record_id, label, avg(mv) + 0.5 * stddev_samp(mv) AS l FROM f GROUP BY ALL), u AS (SELECT record_id, label, sample FROM k JOIN l USING (record_id, label) WHERE p < mv AND n > mv AND mv > l)"""
 
 
 @query(f"WITH {_RISING} SELECT * FROM u")
 def rising_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return rhythm.rising(readings(spark, d).filter("abs(mv) < 50")).select("record_id", "label", "sample")
+    return rhythm.rising(readings(spark, d)).select("record_id", "label", "sample")
 
 
 @query(
@@ -590,7 +612,7 @@ def aberrant_beats(spark: SparkSession, d: str) -> DataFrame:
     return rhythm.aberrant(_beats(spark, d))
 
 
-@query(f"WITH {_G}, k AS (SELECT record_id, label, sample, mv AS v0, lead(mv, 1) OVER w AS v1, lead(mv, 2) OVER w AS v2 FROM g WINDOW w AS ({_BY})) SELECT * FROM k WHERE v2 IS NOT NULL")
+@query(f"WITH {_G}, k AS (SELECT record_id, label, sample, mv AS v0, lead(mv, 1) OVER w AS v1, lead(mv, 2) OVER w AS v2, lead(sample, 2) OVER w AS s2 FROM g WINDOW w AS ({_BY})) SELECT * EXCLUDE (s2) FROM k WHERE s2 IS NOT NULL")
 def embedding_vectors(spark: SparkSession, d: str) -> DataFrame:
     return rhythm.embedded(readings(spark, d)).select("record_id", "label", "sample", "v0", "v1", "v2")
 
@@ -627,10 +649,20 @@ def approx_entropy(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("approximate_entropy", F.round("approximate_entropy", 6))
 
 
-@query()
+_PLACED = f"""{_G}, {_S}, x AS (SELECT record_id, label, coalesce(mv, 0) AS v, row_number() OVER ({_BY}) - 1 AS i, count(*) OVER (PARTITION BY record_id, label) AS n FROM f)"""
+
+
+@query(
+    f"""WITH {_PLACED}, t AS (SELECT record_id, label, 3.5 * stddev_samp(v) AS r FROM x GROUP BY ALL),
+w AS (SELECT x.record_id, x.label, i, n, r, v AS a, lead(v, 1) OVER k AS b, lead(v, 2) OVER k AS c, lead(v, 3) OVER k AS d FROM x JOIN t USING (record_id, label) WHERE n > 3 WINDOW k AS (PARTITION BY x.record_id, x.label ORDER BY i)),
+p AS (SELECT x.record_id, x.label, x.i, any_value(x.n) AS n, count(*) AS n3, count(*) FILTER (abs(x.d - y.d) <= x.r) AS n4
+  FROM w x JOIN w y ON x.record_id = y.record_id AND x.label = y.label AND abs(x.a - y.a) <= x.r AND abs(x.b - y.b) <= x.r AND abs(x.c - y.c) <= x.r GROUP BY x.record_id, x.label, x.i)
+SELECT record_id, label, round(avg(ln(n3 / (n - 2))) - avg(ln(n4 / (n - 3))) FILTER (n4 > 0), 9) AS approximate_entropy FROM p GROUP BY ALL
+UNION ALL SELECT DISTINCT record_id, label, NULL FROM x WHERE n <= 3"""
+)
 def approx_entropy_channels(spark: SparkSession, d: str) -> DataFrame:
     """Every whole channel, with the default tolerance."""
-    return waveforms.approximate_entropy(readings(spark, d).filter("abs(mv) < 50"))
+    return waveforms.approximate_entropy(readings(spark, d)).withColumn("approximate_entropy", F.round("approximate_entropy", 9))
 
 
 @query(
@@ -645,29 +677,91 @@ def dominant_frequency_arrays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
-    return readings(spark, d).filter("abs(mv) < 50").join(rates(spark, d), "record_id")
+    return readings(spark, d).join(rates(spark, d), "record_id")
 
 
-@query()
+@query(
+    f"""WITH {_PLACED}, {_R}, q AS (SELECT x.*, frequency FROM x JOIN r USING (record_id) WHERE n >= 4),
+l AS (SELECT record_id, label, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM q GROUP BY ALL),
+t AS (SELECT record_id, label, frequency, n, i, CAST(floor(n * 0.1) AS BIGINT) AS k, least(i, n - 1 - i) AS e, (v - a - b * i) * CASE WHEN e < k THEN 0.5 * (1 - cos(pi() * (2 * e + 1) / (2 * k))) ELSE 1 END AS v FROM q JOIN l USING (record_id, label)),
+smooth AS (SELECT pow(2, a) * pow(3, b) * pow(5, c) AS m FROM range(0, 31) x(a), range(0, 20) y(b), range(0, 14) z(c)),
+z AS (SELECT record_id, label, frequency, n, (SELECT min(m) FROM smooth WHERE m >= n) AS size FROM (SELECT DISTINCT record_id, label, frequency, n FROM t)),
+f2 AS (SELECT z.*, k AS bin, k * frequency / size AS hz FROM z, unnest(range(CAST(ceil(4 * size / frequency) AS BIGINT), CAST(least(floor(9 * size / frequency), floor(size / 2)) AS BIGINT) + 1)) u(k)),
+p AS (SELECT f2.record_id, f2.label, hz, bin, pow(sum(v * cos(2 * pi() * ((bin * i) % size) / size)), 2) + pow(sum(v * sin(2 * pi() * ((bin * i) % size) / size)), 2) AS power FROM f2 JOIN t USING (record_id, label) GROUP BY ALL)
+SELECT record_id, label, round(arg_max(hz, power), 9) AS dominant_frequency FROM p GROUP BY ALL
+UNION ALL SELECT DISTINCT x.record_id, x.label, NULL FROM x JOIN r USING (record_id) WHERE (x.record_id, x.label) NOT IN (SELECT (record_id, label) FROM f2)"""
+)
 def dominant_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return waveforms.dominant_frequency(_rated(spark, d))
+    return waveforms.dominant_frequency(_rated(spark, d)).withColumn("dominant_frequency", F.round("dominant_frequency", 9))
+
+
+def _bandpass_sql(order: int, low: float, high: float) -> str:
+    """Zero-phase Butterworth band pass of every channel, step by step: ``y`` has (record_id, label, frequency, i, y).
+
+    Poles from the analogue prototype by the bilinear transform, all sections in one row per step; forward over the
+    channel and zeros of two filter lengths, then backward.
+    """
+    k = range(1, order + 1)
+    tail = 2 * (2 * order + 1)
+
+    def steps(name: str, source: str, signal: str) -> str:
+        zero = ", ".join(f"0.0::DOUBLE AS p{j}, 0.0::DOUBLE AS q{j}" for j in k)
+        run, into = [], "x"
+        for j in k:
+            run.append(f"g * {into} + p{j} AS y{j}, q{j} - a{j} * y{j} AS p{j}n, -g * {into} - b{j} * y{j} AS q{j}n")
+            into = f"y{j}"
+        state = ", ".join(f"p{j}n, q{j}n" for j in k)
+        return f"""{name} AS (SELECT record_id, label, 0::BIGINT AS i, 0.0::DOUBLE AS y, {zero} FROM {source}
+  UNION ALL SELECT record_id, label, i, y{order}, {state} FROM (SELECT record_id, label, i, {", ".join(run)} FROM
+    (SELECT w.record_id, w.label, w.i + 1 AS i, {signal}[w.i + 1] AS x, {", ".join(f"p{j}, q{j}, a{j}, b{j}" for j in k)}, g FROM {name} w JOIN {source} s USING (record_id, label) JOIN sections USING (frequency) WHERE w.i < len({signal}))))"""
+
+    return f"""{_G}, {_S}, {_R}, listed AS (SELECT record_id, label, frequency, list(coalesce(mv, 0) ORDER BY sample, mv) || list_transform(range(0, {tail}), lambda z: 0.0::DOUBLE) AS v, count(*) AS n FROM f JOIN r USING (record_id) WHERE frequency > {2 * high} GROUP BY ALL),
+warped AS (SELECT frequency, 2 * tan(pi() * {low} / frequency) AS w1, 2 * tan(pi() * {high} / frequency) AS w2 FROM (SELECT DISTINCT frequency FROM listed)),
+proto AS (SELECT frequency, w1 * w2 AS c, w2 - w1 AS width, k, cos(pi() * (2 * k + {order - 1}) / {2 * order}) * (w2 - w1) / 2 AS hr, sin(pi() * (2 * k + {order - 1}) / {2 * order}) * (w2 - w1) / 2 AS hi FROM warped, unnest(range(1, {order + 1})) u(k)),
+roots AS (SELECT *, hr * hr - hi * hi - c AS dr, 2 * hr * hi AS di, sqrt(dr * dr + di * di) AS size, sqrt((size + dr) / 2) AS rr, CASE WHEN di < 0 THEN -1 ELSE 1 END * sqrt(greatest(size - dr, 0) / 2) AS ri FROM proto),
+poles AS (SELECT frequency, width, k, hi, sign, hr + sign * rr AS sr, hi + sign * ri AS si, (2 - sr) * (2 - sr) + si * si AS d, (4 - sr * sr - si * si) / d AS zr, 4 * si / d AS zi FROM roots, unnest([1, -1]) u(sign)),
+gains AS (SELECT frequency, any_value(width) AS width, exp((sum(ln(2 * width)) / 2 - sum(ln(d)) / 2) / {order}) AS g FROM poles GROUP BY frequency),
+pairs AS (SELECT frequency, k, sign, -2 * zr AS a, zr * zr + zi * zi AS b FROM poles WHERE hi > 1e-9 * width
+  UNION ALL SELECT p.frequency, p.k, 0, -(p.zr + q.zr), p.zr * q.zr - p.zi * q.zi FROM poles p JOIN poles q ON p.frequency = q.frequency AND p.k = q.k AND p.sign = 1 AND q.sign = -1 WHERE abs(p.hi) <= 1e-9 * p.width),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY frequency ORDER BY k, sign) AS j FROM pairs),
+sections AS (SELECT frequency, any_value(g) AS g, {", ".join(f"max(a) FILTER (j = {j}) AS a{j}, max(b) FILTER (j = {j}) AS b{j}" for j in k)} FROM numbered JOIN gains USING (frequency) GROUP BY frequency),
+{steps("ahead", "listed", "s.v")},
+turned AS (SELECT record_id, label, frequency, n, list(y ORDER BY i DESC) AS b FROM ahead JOIN listed USING (record_id, label) WHERE i > 0 GROUP BY ALL),
+{steps("back", "turned", "s.b")},
+y AS (SELECT record_id, label, frequency, n, n + {tail} + 1 - back.i AS i, back.y FROM back JOIN turned USING (record_id, label) WHERE back.i > {tail})"""
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_bandpass_sql(4, 5.0, 15.0)},
+slopes AS (SELECT record_id, label, frequency, n, i, y + 2 * coalesce(lag(y, 1) OVER w, 0) - 2 * coalesce(lag(y, 3) OVER w, 0) - coalesce(lag(y, 4) OVER w, 0) AS d FROM y WINDOW w AS (PARTITION BY record_id, label ORDER BY i)),
+power AS (SELECT *, pow(d * frequency / 8, 2) AS p, CAST(greatest(round_even(0.15 * frequency, 0), 1) AS BIGINT) AS len FROM slopes),
+total AS (SELECT *, sum(p) OVER (PARTITION BY record_id, label ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM power),
+energy AS (SELECT a.record_id, a.label, a.frequency, a.i, (a.upto - coalesce(b.upto, 0)) / a.len AS e FROM total a LEFT JOIN total b ON a.record_id = b.record_id AND a.label = b.label AND b.i = a.i - a.len WHERE a.n >= 8 AND a.frequency > 30),
+level AS (SELECT record_id, label, avg(e) + 0.5 * stddev_samp(e) AS level FROM energy GROUP BY ALL),
+steep AS (SELECT record_id, label, frequency, i, e, lag(e) OVER w AS before, lead(e) OVER w AS after FROM energy WINDOW w AS (PARTITION BY record_id, label ORDER BY i)),
+peaks AS (SELECT record_id, label, i, CAST(round_even(0.2 * frequency, 0) AS BIGINT) AS rest FROM steep JOIN level USING (record_id, label) WHERE before < e AND e < after AND e > level),
+taken AS (SELECT record_id, label, min(i) AS sample FROM peaks GROUP BY ALL UNION ALL (SELECT t.record_id, t.label, min(p.i) FROM taken t JOIN peaks p ON t.record_id = p.record_id AND t.label = p.label AND p.i > t.sample + p.rest GROUP BY ALL))
+SELECT record_id, label, CAST(sample AS INTEGER) AS sample FROM taken"""
+)
 def detect_qrs(spark: SparkSession, d: str) -> DataFrame:
     return waveforms.qrs(_rated(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {_bandpass_sql(3, 0.5, 30.0)} SELECT record_id, label, CAST(i AS INTEGER) AS sample, round(y, 4) AS filtered FROM y")
 def bandpass_filter(spark: SparkSession, d: str) -> DataFrame:
-    return waveforms.filtered(_rated(spark, d))
+    return waveforms.filtered(_rated(spark, d)).withColumn("filtered", F.round("filtered", 4))
+
+
+def _surface(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of surface leads, however their names are written."""
+    return ch.surface_leads(_rated(spark, d))
 
 
 @query()
 def f_wave_features(spark: SparkSession, d: str) -> DataFrame:
-    return waveforms.f_waves(_rated(spark, d).filter(F.col("label").isin(*SURFACE)), ("amplitude", "dominant_frequency"))
+    return waveforms.f_waves(_surface(spark, d), ("amplitude", "approximate_entropy", "dominant_frequency"))
 
 
 @query()
 def f_wave_features_ica(spark: SparkSession, d: str) -> DataFrame:
-    return waveforms.f_waves(_rated(spark, d).filter(F.col("label").isin(*SURFACE)), ("amplitude", "dominant_frequency"), "ica")
+    return waveforms.f_waves(_surface(spark, d), ("amplitude", "approximate_entropy", "dominant_frequency"), "ica")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
-def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
+def table(spark: SparkSession, root: str, name: str, *columns: str | Column) -> DataFrame:
     """Scan ``root/name.parquet``; with ``columns`` only those reach the reader."""
     df = spark.read.parquet(f"{root}/{name}.parquet")
     return df.select(*columns) if columns else df
