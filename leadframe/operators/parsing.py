@@ -92,7 +92,10 @@ def _values_ok(fmt: LineFormat) -> Column:
 
 
 def strict_load(lines: DataFrame, fmt: LineFormat, offset: str = "raw_id", text: str = "raw_text") -> DataFrame:
-    """The conforming lines with typed columns, under their offset; all others are absent."""
+    """The conforming lines with typed columns, under their offset; all others are absent.
+
+    A number that its type cannot hold does not stop the load: it is null, and ``<column>_text`` has its digits.
+    """
     good = _with_fields(lines, fmt, offset, text).filter((F.size("_f") == fmt.width) & _values_ok(fmt))
     cols = []
     for c in fmt.fields:
@@ -100,6 +103,8 @@ def strict_load(lines: DataFrame, fmt: LineFormat, offset: str = "raw_id", text:
         if c.pattern:
             v = F.regexp_extract(v, c.pattern, c.extract)
         cols.append((v.try_cast(c.type) if c.type != "string" else v).alias(c.column))
+        if c.type.startswith("decimal"):
+            cols.append(F.regexp_replace(v, r"^0+(?=.)", "").alias(f"{c.column}_text"))
     return good.select(offset, *cols).dropDuplicates([offset])
 
 

@@ -159,10 +159,9 @@ def counts_per_mv(
         _, post, _ = fit_shifted_mixture(k, kn, b / bins_per_decade, n, shifts, prior)
         best = post.argmax(axis=1)
         table = {int(x): (names[i], float(p[i])) for x, i, p in zip(b, best, post, strict=True)}
-    entries = [x for bin_, (u, p) in table.items() for x in (F.lit(bin_), F.struct(F.lit(u).alias("unit"), F.lit(p).alias("p")))]
-    fitted = F.create_map(*entries)[F.col("_bin")] if entries else F.lit(None).cast("struct<unit:string,p:double>")
+    fitted = channels.sparkSession.createDataFrame([(b, (u, p)) for b, (u, p) in table.items()], "_bin int, _found struct<unit:string,p:double>")
     open_ = F.col("_g").isNotNull() & F.col("_s.unit").isNull()
-    df = df.withColumn("_fit", F.when(open_, fitted))
+    df = df.join(F.broadcast(fitted), "_bin", "left").withColumn("_fit", F.when(open_, F.col("_found")))
     unit = F.coalesce(F.col("_s.unit"), F.col("_fit.unit"))
     return (
         df.withColumn("unit", F.when(F.col("_g").isNotNull(), unit))
@@ -171,5 +170,5 @@ def counts_per_mv(
         .withColumn("basis", F.when(F.col("_by_range").isNotNull(), "range").when(open_, "fitted").when(F.col("_g").isNotNull(), "stated"))
         .withColumn("posterior", F.when(open_, F.col("_fit.p")).when(F.col("basis").isNotNull(), 1.0))
         .withColumn("uncertain", F.coalesce(F.col("posterior") < sure, F.lit(False)))
-        .drop("_s", "_range", "_by_range", "_g", "_bin", "_fit")
+        .drop("_s", "_range", "_by_range", "_g", "_bin", "_fit", "_found")
     )

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from leadframe.operators import intervals, parsing, spikes, timestamps, units
 from leadframe.sources.tables import table
 
-#: Seconds of load time per chunk of a source's record order; annotation ids per chunk.
-LOAD_CHUNK_S = 86_400
-ANN_CHUNK = 4096
-
-
 def _wave_intervals(spark: SparkSession, d: str) -> DataFrame:
     marks = table(spark, d, "annotation_table", "record_id", "annotator", "sample", "type", "number")
     return intervals.pair_bounds(marks.filter(F.col("annotator") == "ecgpuwave"), ["record_id", "number"], "sample", "type")
@@ -53,7 +48,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
     parts = [parsing.strict_load(table(spark, d, log), parsing.header_log(sep)).withColumn("log", F.lit(log)) for log, sep in _LOGS]
-    return parts[0].unionByName(parts[1]).withColumn("samples", F.col("samples").cast("bigint"))
+    return parts[0].unionByName(parts[1]).withColumn("samples", F.col("samples").try_cast("bigint"))
 
 
 def _lines_sql(log: str, s: str) -> str:
@@ -74,7 +69,7 @@ P3_FOUND_SQL = f"""{_P3_SQL} SELECT raw_id, CASE WHEN NOT sound THEN 'quoting' W
 FROM y WHERE NOT fine"""
 
 P3_LOADED_SQL = f"""{_P3_SQL} SELECT raw_id, log, f[1] AS record_name, CAST(f[2] AS INTEGER) AS channels,
-CAST(regexp_extract(f[3], '^[0-9]+') AS BIGINT) AS samples, CAST(regexp_extract(f[4], '^[0-9.]+') AS DOUBLE) AS rate, f[5] AS start, f[6] AS note
+TRY_CAST(regexp_extract(f[3], '^[0-9]+') AS BIGINT) AS samples, regexp_replace(regexp_extract(f[3], '^[0-9]+'), '^0+', '') AS samples_text, CAST(regexp_extract(f[4], '^[0-9.]+') AS DOUBLE) AS rate, f[5] AS start, f[6] AS note
 FROM y WHERE fine"""
 
 
@@ -90,7 +85,7 @@ def _stamps(spark: SparkSession, d: str) -> DataFrame:
         .select(
             F.concat(F.lit("h:"), "record_id").alias("row_key"),
             F.concat_ws(":", F.lit("h"), F.col("vendor"), F.col("site_id").cast("string")).alias("source"),
-            "ord", F.floor(F.col("ord") / LOAD_CHUNK_S).alias("chunk"), F.col("start_time").alias("text"), "tz_name",
+            "ord", F.col("start_time").alias("text"), "tz_name",
         )
     )
     marks = (
@@ -101,7 +96,7 @@ def _stamps(spark: SparkSession, d: str) -> DataFrame:
         .select(
             F.concat(F.lit("a:"), F.col("ann_id").cast("string")).alias("row_key"),
             F.concat_ws(":", F.lit("a"), F.col("record_id"), F.col("annotator")).alias("source"),
-            F.col("ann_id").alias("ord"), F.floor(F.col("ann_id") / ANN_CHUNK).alias("chunk"), F.col("time").alias("text"), "tz_name",
+            F.col("ann_id").alias("ord"), F.col("time").alias("text"), "tz_name",
         )
     )
     return heads.unionByName(marks)
@@ -112,6 +107,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.choose(read).select(F.col("row_key").alias("stamp_key"), "utc_ms").distinct()
 
 
+def p5_order(spark: SparkSession, d: str) -> DataFrame:
+    """The same without stated conventions: formats and directions are told by the order of records alone."""
+    read = timestamps.readings(_stamps(spark, d), "text", "tz_name", convention_cost=0.0)
+    return timestamps.choose(read, timestamps.Costs(convention=0.0)).select(F.col("row_key").alias("stamp_key"), "utc_ms").distinct()
+
+
 _STAMP_SQL = r"""
 WITH site AS (SELECT DISTINCT r.record_id, s.tz_name FROM records r LEFT JOIN sites s USING (site_id)),
 raw AS (SELECT DISTINCT 'h:' || record_id AS stamp_key, record_id, start_time AS t FROM header_table WHERE start_time IS NOT NULL
@@ -192,6 +193,12 @@ def p7_scales(spark: SparkSession, d: str) -> DataFrame:
     return s.select("record_id", "number", F.round(F.col("scale_mv") * 1000).cast("bigint").alias("gain_milli"), "basis", "uncertain").distinct()
 
 
+def p7_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """Channels that state no unit, by the mixture alone: no convention says what a missing unit is."""
+    s = units.counts_per_mv(_channels(spark, d), default=None).filter(F.col("basis") == "fitted")
+    return s.select("record_id", "number", "unit", F.round(F.col("scale_mv") * 1000).cast("bigint").alias("gain_milli")).distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     s = units.counts_per_mv(_channels(spark, d)).filter(F.col("scale_mv").isNotNull())
     already = (F.col("basis") != "range") & (F.col("unit") == "mV") & ~F.col("inverse")
@@ -216,12 +223,15 @@ P7_FOUND_SQL = f"""{_P7_SQL} SELECT DISTINCT record_id, number, CAST(round(CAST(
 WHERE scale IS NOT NULL AND (by_range IS NOT NULL OR per <> 1.0 OR (inverse AND NOT nameless))"""
 
 
+P7_FITTED_SQL = f"""{_P7_SQL} SELECT DISTINCT record_id, number, 'mV' AS unit, CAST(round(adc_gain * 1000) AS BIGINT) AS gain_milli FROM y
+WHERE nameless AND p2 IS NULL AND by_range IS NULL AND adc_gain > 0 AND isfinite(adc_gain)"""
+
 QUERIES = {
-    "p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_loaded": p3_loaded, "p5_found": p5_found,
-    "p6_found": p6_found, "p6_hampel": p6_hampel, "p7_found": p7_found, "p7_scales": p7_scales,
+    "p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_loaded": p3_loaded, "p5_found": p5_found, "p5_order": p5_order,
+    "p6_found": p6_found, "p6_hampel": p6_hampel, "p7_found": p7_found, "p7_scales": p7_scales, "p7_fitted": p7_fitted,
 }
 
 SQL = {
-    "p2_found": P2_FOUND_SQL, "p2_periods": P2_PERIODS_SQL, "p3_found": P3_FOUND_SQL, "p3_loaded": P3_LOADED_SQL, "p5_found": P5_FOUND_SQL,
-    "p6_found": P6_FOUND_SQL, "p6_hampel": P6_HAMPEL_SQL, "p7_found": P7_FOUND_SQL,
+    "p2_found": P2_FOUND_SQL, "p2_periods": P2_PERIODS_SQL, "p3_found": P3_FOUND_SQL, "p3_loaded": P3_LOADED_SQL, "p5_found": P5_FOUND_SQL, "p5_order": P5_FOUND_SQL,
+    "p6_found": P6_FOUND_SQL, "p6_hampel": P6_HAMPEL_SQL, "p7_found": P7_FOUND_SQL, "p7_fitted": P7_FITTED_SQL,
 }

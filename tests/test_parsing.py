@@ -34,6 +34,17 @@ def test_reasons(spark):
     assert (loaded[17]["channels"], loaded[17]["samples"], loaded[17]["rate"]) == (12, 7, 9.5)
 
 
+def test_numbers_beyond_their_type_do_not_stop_the_load(spark, tmp_path):
+    from leadframe.plans import problems
+
+    lines = ["r,1," + "9" * 30 + ",1,,", "r,1,00" + "9" * 60 + ",1,,", "r,1,0007,1,,"]
+    for log, s in (("bard", ","), ("prucka", ";")):
+        spark.createDataFrame([(i, x.replace(",", s)) for i, x in enumerate(lines)], "raw_id bigint, raw_text string").write.parquet(f"{tmp_path}/{log}.parquet")
+    got = {(r["log"], r["raw_id"]): (r["samples"], r["samples_text"]) for r in problems.p3_loaded(spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and all(got[log, i] == w for log in ("bard", "prucka") for i, w in enumerate([(None, "9" * 30), (None, "9" * 60), (7, "7")]))
+    assert problems.p3_found(spark, str(tmp_path)).count() == 0
+
+
 def test_fields_as_a_csv_reader_has_them(spark):
     loaded = parsing.strict_load(_table(spark, LINES), parsing.header_log(",")).collect()
     for r in loaded:
