@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from leadframe.operators import annotations as _ann
 from leadframe.operators import channels as _ch
 from leadframe.operators import rhythm as _rhythm
 from leadframe.operators import waveforms as _wave
-from leadframe.sources import vendors, wfdb
+from leadframe.sources import files, vendors, wfdb
 
 SIGNAL = "record_id string, sample int, label string, value double"
 ANNOTATION = "record_id string, annotator string, time string, sample int, type string, subtype string, channel int, number int"
@@ -52,6 +54,10 @@ class Windows:
     def annotations(self, adjust: bool = True) -> DataFrame:
         return _ann.window_annotations(self.source.annotations.filter("sample is not null"), self.table, adjust=adjust)
 
+    def map_arrow(self, work: Callable, schema: str) -> DataFrame:
+        """``work`` on the Arrow table of each window."""
+        return self.signal().groupBy("record_id", "window_id").applyInArrow(work, schema)
+
     def select(self, ids: Sequence[int]) -> Windows:
         return replace(self, table=self.table.filter(F.col("window_id").isin(*ids)))
 
@@ -105,9 +111,17 @@ def windowed(table: DataFrame, source: Recording, method: str = "rhythm") -> Win
 # ---- constructors ----------------------------------------------------------------------------------------------------
 
 
-def signal_table(spark: SparkSession, columns: Mapping[str, Sequence[float]] | None = None, record_id: str = "record") -> DataFrame:
-    """Long signal from columns of numbers; without a ``sample`` column samples count from 1; repeated names are made unique by the caller's mapping."""
-    cols = dict(columns or {})
+def signal_table(spark: SparkSession, columns: Mapping[str, Sequence[float]] | Sequence[tuple[str, Sequence[float]]] | None = None, record_id: str = "record") -> DataFrame:
+    """Long signal from columns of numbers (a mapping, or pairs whose names may repeat: ECG, ECG_1, ...); without a ``sample``
+    column samples count from 1."""
+    pairs = list(columns.items() if isinstance(columns, Mapping) else columns or ())
+    given, cols = [k for k, _ in pairs], {}
+    for k, v in pairs:
+        name, i = k, 0
+        while name in cols or (i and name in given):
+            i += 1
+            name = f"{k}_{i}"
+        cols[name] = v
     if not cols:
         return spark.createDataFrame([], SIGNAL)
     n = len(next(iter(cols.values())))
@@ -126,18 +140,33 @@ def annotation_table(spark: SparkSession, rows: Sequence[Mapping[str, object]] =
 
 
 def header_table(spark: SparkSession, labels: Sequence[str], record_name: str = "record", frequency: float = 250.0, samples: int | None = None, start_time: object = None,
-                 storage_format: int = 16, adc_gain: float | Sequence[float] = 200.0, adc_baseline: int | Sequence[int] = 0, adc_units: str = "mV", adc_saturation: int | None = None,
-                 additional_gain: float | Sequence[float] = 1.0, file_name: str | None = None, color: str = "#000000") -> tuple[DataFrame, DataFrame]:
-    """(records, channels) with the defaults of the format; labels in standard form with source, lead and display order."""
-    each = lambda v: list(v) if isinstance(v, (list, tuple)) else [v] * len(labels)
-    records = spark.createDataFrame([(record_name, record_name, len(labels), float(frequency), samples, start_time, adc_saturation)],
-        "record_id string, record_name string, number_of_channels int, frequency double, samples bigint, start_time timestamp_ntz, adc_saturation int")
-    rows = [
-        (record_name, i + 1, file_name or f"{record_name}.dat", storage_format, adc_saturation / a if adc_saturation else float(g), b, adc_units, 12, 0, 0, 0, 0, label, float(a), color)
-        for i, (label, g, b, a) in enumerate(zip(labels, each(adc_gain), each(adc_baseline), each(additional_gain), strict=True))
-    ]
-    channels = spark.createDataFrame(rows, "record_id string, number int, file_name string, storage_format int, adc_gain double, adc_baseline int, adc_units string, adc_resolution int, adc_zero int, "
-        "initial_value int, checksum int, blocksize int, label string, additional_gain double, color string")
+                 storage_format: int | Sequence[int] = 16, adc_gain: float | Sequence[float] = 200.0, adc_baseline: int | Sequence[int] | None = None, adc_units: str | Sequence[str] = "mV",
+                 adc_saturation: int | None = None, additional_gain: float | Sequence[float] = 1.0, file_name: str | None = None, color: str | Sequence[str] = "#000000",
+                 number_of_channels: int | None = None, adc_resolution: int | Sequence[int] = 12, adc_zero: int | Sequence[int] = 0, initial_value: int | Sequence[int] | None = None,
+                 checksum: int | Sequence[int] = 0, blocksize: int | Sequence[int] = 0, low_pass: int | Sequence[int] | None = None, high_pass: int | Sequence[int] | None = None,
+                 scale: int | Sequence[int] | None = None, info_strings: Mapping[str, Sequence[object]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, channels) with the defaults of the format; labels in standard form with source, lead and display order.
+
+    What belongs to channels may be one value or one per channel. Baseline and initial value default to the zero; with a
+    saturation the gain is the saturation over ``additional_gain``. A stated ``number_of_channels`` above 0 is kept.
+    """
+    n = len(labels)
+    each = lambda v: list(v) if isinstance(v, (list, tuple)) else [v] * n
+    info = [(k, [str(x) for x in (v if isinstance(v, (list, tuple)) else [v])]) for k, v in (info_strings or {}).items()]
+    if any(not k for k, _ in info):
+        raise ValueError("info strings must be named")
+    records = spark.createDataFrame([(record_name, record_name, number_of_channels or n, float(frequency), samples, start_time, adc_saturation, info)],
+        "record_id string, record_name string, number_of_channels int, frequency double, samples bigint, start_time timestamp_ntz, adc_saturation int, info array<struct<key:string,values:array<string>>>")
+    zero = each(adc_zero)
+    more = each(additional_gain)
+    gain = [float(adc_saturation) / a for a in more] if adc_saturation else [float(g) for g in each(adc_gain)]
+    columns = {
+        "number int": range(1, n + 1), "file_name string": each(file_name or f"{record_name}.dat"), "storage_format int": each(storage_format), "adc_gain double": gain,
+        "adc_baseline int": zero if adc_baseline is None else each(adc_baseline), "adc_units string": each(adc_units), "adc_resolution int": each(adc_resolution), "adc_zero int": zero,
+        "initial_value int": zero if initial_value is None else each(initial_value), "checksum int": each(checksum), "blocksize int": each(blocksize), "label string": labels,
+        "additional_gain double": [float(a) for a in more], "low_pass int": each(low_pass), "high_pass int": each(high_pass), "color string": each(color), "scale int": each(scale),
+    }
+    channels = spark.createDataFrame([(record_name, *r) for r in zip(*columns.values(), strict=True)], ", ".join(["record_id string", *columns]))
     return records, _ch.with_sources(channels)
 
 
@@ -166,12 +195,10 @@ def ecg_warnings(x: Recording) -> DataFrame:
 
 
 def read_header(spark: SparkSession, record: str, record_dir: str = ".") -> tuple[DataFrame, DataFrame]:
-    import os
-
-    path = os.path.join(record_dir, f"{record}.hea")
-    if not os.path.exists(path):
+    """(records, channels) of one record; ``record_dir`` may be a path or a URI, here and in all readers and writers."""
+    if not files.exists(record_dir, f"{record}.hea"):
         raise FileNotFoundError(f"{record} not found in {record_dir}")
-    return wfdb.read_headers(spark, path)
+    return wfdb.read_headers(spark, f"{record_dir.rstrip('/')}/{record}.hea")
 
 
 def _samples(spark: SparkSession, record: str, record_dir: str, begin: float, end: float | None, interval: float | None) -> tuple[int, int | None]:
@@ -194,21 +221,96 @@ def read_annotation(spark: SparkSession, record: str, annotator: str, record_dir
     """Annotations from floor(begin) to ceiling(end) of the seconds' samples, both included."""
     a = wfdb.read_annotations(spark, record_dir, annotator, [record]).join(read_header(spark, record, record_dir)[0].select("record_id", "frequency"), "record_id")
     a = _ann.within_time(a, begin, end) if begin or end is not None else a
-    return a.select("record_id", "annotator", elapsed(F.col("sample"), F.col("frequency")).alias("time"), "sample", "type", F.col("subtype").cast("string").alias("subtype"), "channel", "number")
+    return a.select("record_id", "annotator", elapsed(F.col("sample"), F.col("frequency")).alias("time"), "sample", "type", F.col("subtype").cast("string").alias("subtype"), "channel", "number", "row_no")
 
 
 def read_wfdb(spark: SparkSession, record: str, record_dir: str = ".", annotator: str | None = None, begin: float = 0.0, end: float | None = None, interval: float | None = None, units: str = "digital", channels: Sequence[str | int] = ()) -> Recording:
     records, chans = read_header(spark, record, record_dir)
     a = read_annotation(spark, record, annotator, record_dir, begin, end) if annotator else None
-    return recording(read_signal(spark, record, record_dir, begin, end, interval, units, channels), records, _ch.with_sources(chans), a)
-
-
-def write_wfdb(x: Recording, record_dir: str, units: str = "digital") -> DataFrame:
-    return wfdb.write_records(x.signal, x.records, x.channels, record_dir, units)
-
-
-def write_annotation(annotations: DataFrame, annotator: str, record_dir: str = ".") -> DataFrame:
-    return wfdb.write_annotations(annotations, record_dir, annotator)
+    return recording(read_signal(spark, record, record_dir, begin, end, interval, units, channels), records, _ch.with_sources(chans, standard=False), a)
+
+
+def write_wfdb(data: Recording | DataFrame, record: str | None = None, record_dir: str = ".", header: tuple[DataFrame, DataFrame] | None = None,
+               info_strings: Mapping[str, Sequence[object]] | None = None, units: str = "digital") -> DataFrame:
+    """Write records; returns (record_id, path, frames).
+
+    ``data`` is a recording, whose own header counts, or a wide signal table of one record (``sample`` and one column per
+    channel) with ``header`` (records, channels). Columns go to the channels of their label; if a label has no column they go
+    by place, provided that there are as many columns as channels; otherwise it is an error. ``record`` renames a single
+    record. ``info_strings`` are added to those of the header.
+    """
+    if isinstance(data, Recording):
+        if header is not None:
+            warnings.warn("the header given is not used: a recording has its own", stacklevel=2)
+        signal, records, channels = data.signal, data.records, data.channels
+    else:
+        if header is None:
+            raise ValueError("a header is needed for data that is no recording")
+        records, channels = header
+        signal, channels = _aligned(data, records, channels)
+    if info_strings:
+        if any(not k for k in info_strings):
+            raise ValueError("info strings must be named")
+        more = F.array(*(F.struct(F.lit(k).alias("key"), F.array(*(F.lit(str(x)) for x in (v if isinstance(v, (list, tuple)) else [v]))).alias("values")) for k, v in info_strings.items()))
+        records = records.withColumn("info", F.concat("info", more) if "info" in records.columns else more)
+    if record is not None:
+        if len(records.select("record_id").distinct().take(2)) > 1:
+            raise ValueError("only a single record can be given a name")
+        signal, channels = (x.withColumn("record_id", F.lit(record)) for x in (signal, channels))
+        records = records.withColumn("record_id", F.lit(record)).withColumn("record_name", F.lit(record))
+    return wfdb.write_records(signal, records, channels, record_dir, units)
+
+
+def _aligned(wide: DataFrame, records: DataFrame, channels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Long signal and channels under the same labels, from columns by label or by place."""
+    columns = [c for c in wide.columns if c not in ("sample", "record_id")]
+    if not columns:
+        raise ValueError("a signal needs at least one channel")
+    if "sample" not in wide.columns:
+        raise ValueError("a signal needs samples")
+    rows = channels.select("number", "label").orderBy("number").collect()
+    stated = [r["label"] or "" for r in rows]
+    labels = stated if any(stated) else [f"CH{r['number']}" for r in rows]
+    if set(labels) <= set(columns):
+        picked = labels
+    elif len(columns) == len(labels):
+        picked = columns
+    else:
+        raise ValueError("signal columns do not align with the header's labels")
+    names = dict(zip((r["number"] for r in rows), wfdb.own_labels(labels), strict=True))
+    key = records.select("record_id").first()[0]
+    cells = F.array(*(F.struct(F.lit(n).alias("label"), F.col(f"`{c}`").cast("double").alias("value")) for n, c in zip(names.values(), picked, strict=True)))
+    long = wide.select(F.lit(key).alias("record_id"), "sample", F.inline(cells))
+    label = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("number")]
+    return long, channels.withColumn("label", label)
+
+
+def write_annotation(data: DataFrame, annotator: str, record: str | None = None, record_dir: str = ".") -> DataFrame:
+    """Write annotations, one file per record; ``record`` renames a single one. Returns (record_id, path, marks)."""
+    missing = {"sample", "type", "subtype", "channel", "number"} - set(data.columns)
+    if missing:
+        raise ValueError(f"annotations lack {', '.join(sorted(missing))}")
+    return wfdb.write_annotations(data if record is None else data.withColumn("record_id", F.lit(record)), record_dir, annotator)
+
+
+def combine(*tables: DataFrame) -> DataFrame:
+    """Rows of several tables under one schema: columns by name, missing ones null, numbers in the widest of their types.
+    Types that do not go together are an error; so are recordings, whose parts are combined one by one."""
+    if not tables or not all(isinstance(t, DataFrame) for t in tables):
+        raise TypeError("only tables can be combined")
+    kinds: dict[str, str] = {}
+    for t in tables:
+        for c, k in t.dtypes:
+            have = kinds.get(c, k)
+            if have != k and not {have, k} <= set(_NUMBERS):
+                raise TypeError(f"{c} is {have} in one table and {k} in another")
+            kinds[c] = have if have == k else max(have, k, key=_NUMBERS.index)
+    each = [t.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in t.columns)) for t in tables]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+
+
+#: Kinds of numbers, each wider than the ones before it.
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def _vendor(parts: tuple[DataFrame, DataFrame, DataFrame]) -> Recording:
@@ -290,8 +392,14 @@ def window(x: Recording, window_method: str = "rhythm", **options: object) -> Wi
     return window_by_rhythm(x, **options)
 
 
-def standardize_windows(x: Windows, target_samples: int | None = 500, target_ms: float | None = None, interpolation: str = "linear", align_feature: str | Mapping[str, object] | None = None, preserve_amplitude: bool = True, align_mode: str = "forward") -> DataFrame:
-    """Windows of one length. With ``align_feature`` windows without it keep their place."""
+def standardize_windows(x: Windows, target_samples: int | None = 500, target_ms: float | None = None, interpolation: str = "linear", align_feature: str | Mapping[str, object] | None = None,
+                        preserve_amplitude: bool = True, align_mode: str = "forward", method: str = "time_normalize", preserve_class: bool = False) -> DataFrame | Windows:
+    """Windows of one length. With ``align_feature`` windows without it keep their place, with a warning. With
+    ``preserve_class`` the result is windows again, each a record of its own under its window's name."""
+    if not isinstance(x, Windows):
+        raise TypeError("windows are needed")
+    if method != "time_normalize":
+        raise ValueError(f"no such way to standardize: {method}")
     rate = None
     if target_samples is None and target_ms is not None:
         rate = x.source.records.agg(F.max("frequency")).first()[0]
@@ -300,9 +408,20 @@ def standardize_windows(x: Windows, target_samples: int | None = 500, target_ms:
     if align_feature is not None:
         want = {"type": align_feature} if isinstance(align_feature, str) else align_feature
         a = x.annotations()
-        s = s.join(_wave.feature_shift(a.filter(_ann.criteria(a, want)), n, align_mode), ["record_id", "window_id"], "left")
+        shifts = _wave.feature_shift(a.filter(_ann.criteria(a, want)), n, align_mode)
+        if x.table.join(shifts, ["record_id", "window_id"], "left_anti").take(1):
+            warnings.warn("some windows have no such feature: they are not shifted", stacklevel=2)
+        s = s.join(shifts, ["record_id", "window_id"], "left")
         shift = "shift"
-    return _wave.time_normalized(s, n, interpolation, "value", preserve_amplitude=preserve_amplitude, shift=shift)
+    out = _wave.time_normalized(s, n, interpolation, "value", preserve_amplitude=preserve_amplitude, shift=shift)
+    if not preserve_class:
+        return out
+    named = F.concat("record_id", F.lit("_"), F.col("window_id").cast("string"))
+    rows = out.select(named.alias("record_id"), "sample", "label", "value")
+    of = x.table.select("record_id", "window_id", named.alias("_name"))
+    swap = lambda t: t.join(of.select("record_id", "_name"), "record_id").withColumn("record_id", F.col("_name")).drop("_name")
+    source = replace(x.source, signal=rows, records=swap(x.source.records).withColumn("samples", F.lit(n).cast("bigint")), channels=swap(x.source.channels), annotations=x.source.annotations.limit(0))
+    return Windows(of.select(F.col("_name").alias("record_id"), "window_id", F.lit(1).alias("onset"), F.lit(n).alias("offset")), source, f"standardized_{method}")
 
 
 # ---- channels and plots ----------------------------------------------------------------------------------------------

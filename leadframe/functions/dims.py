@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping, Sequence
 
-# Surface leads from top to bottom, catheter positions.
-SURFACE = ("I", "II", "III", "AVF", "AVL", "AVR", "V1", "V2", "V3", "V4", "V5", "V6")
-PLACES = ("D", "DIST", "DISTAL", "M", "MID", "MIDDLE", "P", "PROX", "PROXIMAL")
-_PAIRS = [f"{i}-{i + 1}" for i in range(1, 20, 2)]
+from pyspark.sql import DataFrame, SparkSession
 
-#: Labels by group; within a catheter the last pole comes first.
+# Channel labels by group, in display order.
 LEADS: dict[str, tuple[str, ...]] = {
-    "ECG": SURFACE,
-    "HRA": tuple(f"RA {p}" for p in reversed(_PAIRS[:2])),
-    "HIS": tuple(f"HIS {p}" for p in reversed([*_PAIRS[:3], *PLACES])),
-    "CS": tuple(f"CS {p}" for p in reversed(_PAIRS[:5])),
-    "DD": tuple(f"DD {p}" for p in reversed(_PAIRS)),
-    "RV": tuple(f"RV {p}" for p in reversed(_PAIRS[:2])),
-    "ABL": tuple(f"ABL {p}" for p in reversed([*_PAIRS[:2], *PLACES[:3], *PLACES[6:]])),
+    "ECG": ("I", "II", "III", "AVF", "AVL", "AVR", "V1", "V2", "V3", "V4", "V5", "V6"),
+    "HRA": ("RA 3-4", "RA 1-2"),
+    "HIS": ("HIS PROXIMAL", "HIS PROX", "HIS P", "HIS MIDDLE", "HIS MID", "HIS M", "HIS DISTAL", "HIS DIST", "HIS D", "HIS 5-6", "HIS 3-4", "HIS 1-2"),
+    "CS": ("CS 9-10", "CS 7-8", "CS 5-6", "CS 3-4", "CS 1-2"),
+    "DD": ("DD 19-20", "DD 17-18", "DD 15-16", "DD 13-14", "DD 11-12", "DD 9-10", "DD 7-8", "DD 5-6", "DD 3-4", "DD 1-2"),
+    "RV": ("RV 3-4", "RV 1-2"),
+    "ABL": ("ABL PROXIMAL", "ABL PROX", "ABL P", "ABL DISTAL", "ABL DIST", "ABL D", "ABL 3-4", "ABL 1-2"),
 }
+SURFACE = LEADS["ECG"]
 LABELS: tuple[str, ...] = tuple(x for group in LEADS.values() for x in group)
 SOURCES = ("ECG", "HRA", "RA", "HIS", "CS", "DD", "RV", "ABL")
 
@@ -67,10 +65,10 @@ ANNOTATIONS: tuple[tuple[int, str, str, str], ...] = (
 )
 
 # The material palette, light to dark; surface and duodecapolar leads use each shade twice.
-_PINK = "#FCE4EB #F8BAD0 #F38EB1 #F06192 #EB3F79 #E91E63 #D81A5F #C1185A #AC1357 #870D4E".split()
-_BLUE = "#E3F2FD #BADEFA #90CAF8 #64B4F6 #41A5F4 #2096F2 #1E87E5 #1976D2 #1465BF #0C46A0".split()
-_TEAL = "#DFF2F1 #B2DFDA #7FCBC4 #4CB6AC #26A599 #009687 #00887A #00796B #00685B #004C3F".split()
-_YELLOW = "#FFFDE6 #FFF8C4 #FFF49D #FFF176 #FFED58 #FFEB3A #FDD834 #FABF2C #F8A725 #F47F17".split()
+_PINK = ["#FCE4EB", "#F8BAD0", "#F38EB1", "#F06192", "#EB3F79", "#E91E63", "#D81A5F", "#C1185A", "#AC1357", "#870D4E"]
+_BLUE = ["#E3F2FD", "#BADEFA", "#90CAF8", "#64B4F6", "#41A5F4", "#2096F2", "#1E87E5", "#1976D2", "#1465BF", "#0C46A0"]
+_TEAL = ["#DFF2F1", "#B2DFDA", "#7FCBC4", "#4CB6AC", "#26A599", "#009687", "#00887A", "#00796B", "#00685B", "#004C3F"]
+_YELLOW = ["#FFFDE6", "#FFF8C4", "#FFF49D", "#FFF176", "#FFED58", "#FFEB3A", "#FDD834", "#FABF2C", "#F8A725", "#F47F17"]
 PALETTE: dict[str, list[str]] = {
     "HIS": _YELLOW, "HRA": _PINK, "RV": _PINK, "ABL": _PINK, "CS": _TEAL,
     "ECG": [c for c in _BLUE for _ in range(2)], "DD": [c for c in _TEAL for _ in range(2)],
@@ -91,7 +89,7 @@ def annotation_dim(spark: SparkSession, symbols: list[str] | None = None, codes:
     return df if codes is None else df.filter(df["label_store"].isin(codes))
 
 
-def palette_dim(spark: SparkSession, mode: str = "dark") -> DataFrame:
+def palette_dim(spark: SparkSession, mode: str = "dark", palette: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(``lead_group``, ``i``, ``color``); the light mode takes the shades from dark to light."""
-    rows = [(g, i, c) for g, cs in PALETTE.items() for i, c in enumerate(reversed(cs) if mode == "light" else cs)]
+    rows = [(g, i, c) for g, cs in (PALETTE if palette is None else palette).items() for i, c in enumerate(reversed(cs) if mode == "light" else cs)]
     return spark.createDataFrame(rows, "lead_group string, i int, color string")

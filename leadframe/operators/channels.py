@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,14 +12,14 @@ from leadframe.functions.dims import LABELS, LEADS, SURFACE, lead_dim, palette_d
 from leadframe.functions.text import bare_lead, make_unique, standard_label
 
 
-def with_sources(channels: DataFrame, key: str = "record_id", label: str = "label", number: str = "number") -> DataFrame:
+def with_sources(channels: DataFrame, key: str = "record_id", label: str = "label", number: str = "number", standard: bool = True) -> DataFrame:
     """Labels in standard form with ``lead_group``, ``source``, ``lead`` and display ``ord``.
 
     Only if all labels of a record are known do source and lead get values (a surface lead is its own lead); else both
-    are null and repeated labels are made unique. Null labels are unknown.
+    are null and repeated labels are made unique. Null labels are unknown. With ``standard`` off labels stay as they are.
     """
     dim = lead_dim(channels.sparkSession).withColumnRenamed("label", "_l")
-    c = channels.drop("lead_group", "ord", "source", "lead").withColumn(label, standard_label(F.col(label)))
+    c = channels.drop("lead_group", "ord", "source", "lead").withColumn(label, standard_label(F.col(label)) if standard else F.col(label))
     c = c.join(F.broadcast(dim), c[label] == dim["_l"], "left").drop("_l")
     known = c.groupBy(key).agg(F.bool_and(F.col("ord").isNotNull()).alias("_all"))
     c = make_unique(c, [key], label, number, "_unique").join(known, key)
@@ -50,13 +50,17 @@ def channel_source(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(dim), df[label] == F.col("_l"), "left").drop("_l")
 
 
-def with_colors(channels: DataFrame, keys: Sequence[str] = ("record_id",), label: str = "label", order: str = "number", mode: str = "dark") -> DataFrame:
-    """Add ``color``: the i-th distinct lead of a group in a record takes the group's i-th shade; unknown labels none."""
+def with_colors(channels: DataFrame, keys: Sequence[str] = ("record_id",), label: str = "label", order: str = "number", mode: str = "dark",
+                palette: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Add ``color``: the i-th distinct lead of a group in a record takes the group's i-th shade; unknown labels none.
+
+    ``palette`` gives shades by group instead of the material ones; groups that it does not have get none.
+    """
     spark = channels.sparkSession
     c = channel_source(channels.drop("color"), label)
     first = c.filter(F.col("lead_group").isNotNull()).groupBy(*keys, label, "lead_group").agg(F.min(order).alias("_first"))
     w = Window.partitionBy(*keys, "lead_group").orderBy("_first")
-    shade = first.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(palette_dim(spark, mode)), ["lead_group", "i"])
+    shade = first.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(palette_dim(spark, mode, palette)), ["lead_group", "i"])
     return c.join(shade.select(*keys, label, "color"), [*keys, label], "left")
 
 
@@ -136,8 +140,9 @@ FORMAT_RANGE = {8: (-128, 127), 80: (-128, 127), 16: (-32768, 32767), 24: (-8388
 
 
 def to_digital(value: Column, gain: Column, baseline: Column, storage_format: Column) -> Column:
-    """Counts: value * gain + baseline, rounded half away from zero, held within the range of the storage format; a null stays."""
-    counts = F.round(value * F.coalesce(gain, F.lit(200.0)) + F.coalesce(baseline, F.lit(0)))
+    """Counts: value * gain + baseline (a gain of 0 multiplies nothing, a null one is 200), rounded half away from zero, held within the range of the storage format; a null stays."""
+    g = F.coalesce(gain, F.lit(200.0))
+    counts = F.round(value * F.when(g == 0, 1.0).otherwise(g) + F.coalesce(baseline, F.lit(0)))
     low = reduce(lambda acc, kv: F.when(storage_format == kv[0], kv[1][0]).otherwise(acc), FORMAT_RANGE.items(), F.lit(None).cast("int"))
     high = reduce(lambda acc, kv: F.when(storage_format == kv[0], kv[1][1]).otherwise(acc), FORMAT_RANGE.items(), F.lit(None).cast("int"))
     return F.when(counts.isNotNull(), F.greatest(F.least(counts, high), low)).cast("int")

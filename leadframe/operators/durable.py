@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's checkpoint folder, so that it survives the loss of executors.
-
-    The folder is ``spark.checkpoint.dir``. A local session without it gets a temporary one; a cluster without it is
-    refused, as a machine's own folder is not shared.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: ``spark.checkpoint.dir``. A local session without it gets a temporary one; a cluster
+    without it is refused, as a machine's own folder is not shared."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -21,4 +19,16 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="leadframe-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the shared one, for files that are written and read within a session."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so that it survives the loss of executors. It is computed here and
+    now: asking for a query that keeps something runs that part of it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -271,14 +271,14 @@ def qrs_neighbourhoods(spark: SparkSession, d: str) -> DataFrame:
     return n.select("record_id", "point", "k", "label", F.round("mv", 6).alias("mv"))
 
 
-def _normalized_sql(method: str, target: int, preserve: bool, centred: bool = False) -> str:
+def _normalized_sql(method: str, target: int, preserve: bool, centred: int = 0) -> str:
     if method == "spline":
         return _spline_sql(target)
     value = {"linear": "v[k + 1] + CASE WHEN x > k THEN (x - k) * (v[k + 2] - v[k + 1]) ELSE 0 END", "step": "v[CAST(floor(x + 1e-9) AS BIGINT) + 1]"}[method]
     out = "CASE WHEN hi > lo THEN (y - lo) / (hi - lo) * (list_max(v) - list_min(v)) + list_min(v) ELSE y END" if preserve else "y"
     return f"""WITH {_windows_sql(True, True)}, {_G},
 s AS (SELECT g.record_id, w.window_id, g.label, list(g.mv ORDER BY g.sample, g.mv) AS v FROM g JOIN w ON g.record_id = w.record_id AND g.sample BETWEEN w.onset AND w."offset" WHERE g.mv IS NOT NULL GROUP BY ALL),
-f AS (SELECT w.record_id, w.window_id, {f"min(a.sample) - w.onset + 1 - {-(-target // 2)}" if centred else "0"} AS shift FROM w JOIN a ON a.record_id = w.record_id AND a.sample BETWEEN w.onset AND w."offset"
+f AS (SELECT w.record_id, w.window_id, {f"{centred} * (min(a.sample) - w.onset + 1 - {-(-target // 2)})" if centred else "0"} AS shift FROM w JOIN a ON a.record_id = w.record_id AND a.sample BETWEEN w.onset AND w."offset"
   WHERE a.annotator = 'ecgpuwave' AND a.type = 'N' GROUP BY w.record_id, w.window_id, w.onset),
 p AS (SELECT s.*, i, greatest(0.0, least(i * (len(v) - 1) / {target - 1}.0 + shift, len(v) - 1.0)) AS x FROM s JOIN f USING (record_id, window_id), unnest(range(0, {target})) t(i)),
 q AS (SELECT *, greatest(least(CAST(floor(x) AS BIGINT), len(v) - 2), 0) AS k FROM p),
@@ -326,7 +326,7 @@ def time_normalize_spline(spark: SparkSession, d: str) -> DataFrame:
     return _normalized(spark, d, target=50, method="spline")
 
 
-@query(_normalized_sql("linear", 50, True, True))
+@query(_normalized_sql("linear", 50, True, 1))
 def time_normalize_aligned(spark: SparkSession, d: str) -> DataFrame:
     w = _windows(spark, d)
     feature = ann_ops.window_annotations(annotations(spark, d, "ecgpuwave").filter("type = 'N' and sample is not null"), w)
@@ -384,7 +384,7 @@ def digital_to_physical(spark: SparkSession, d: str) -> DataFrame:
     return s.select("record_id", "sample", "label", F.round(ch.to_physical(F.col("value"), F.col("gain"), F.col("base")), 6).alias("physical"))
 
 
-@query(f"WITH {_G}, {_C}, {_USED} SELECT record_id, sample, label, CASE WHEN mv IS NOT NULL THEN CAST(greatest(least(round(mv * coalesce(gain, 200) + coalesce(base, 0)), {_HIGH}), -{_HIGH} - 1) AS INTEGER) END AS digital FROM g JOIN u USING (record_id, label)")
+@query(f"WITH {_G}, {_C}, {_USED} SELECT record_id, sample, label, CASE WHEN mv IS NOT NULL THEN CAST(greatest(least(round(mv * CASE WHEN gain = 0 THEN 1 ELSE coalesce(gain, 200) END + coalesce(base, 0)), {_HIGH}), -{_HIGH} - 1) AS INTEGER) END AS digital FROM g JOIN u USING (record_id, label)")
 def physical_to_digital_clamped(spark: SparkSession, d: str) -> DataFrame:
     s = readings(spark, d).join(_scales(spark, d), ["record_id", "label"])
     return s.select("record_id", "sample", "label", ch.to_digital(F.col("mv"), F.col("gain"), F.col("base"), F.col("fmt")).alias("digital"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import posixpath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leadframe.functions.expr import let
 from leadframe.functions.text import standard_label, start_time
+from leadframe.sources import files
 
 #: Saturation of the vendors' 16-bit converters.
 SATURATION = 32768
@@ -15,10 +17,28 @@ SATURATION = 32768
 _HEAD, _PER_CHANNEL = 13, 8
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, l): the lines of each file."""
-    f = spark.read.text(path, wholetext=True)
-    return f.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("record_id"), F.split("value", r"\r?\n").alias("l"))
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, no, line): the lines of text files with their numbers from 0, whatever pieces a file is read in.
+
+    A line's number is its place in its piece plus the lines of the pieces before it; only one row per piece meets per file.
+    """
+    f = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_piece"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    pieces = f.groupBy("_file", "_piece").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select("_file", "_piece", (before - F.col("_first")).alias("_move"))
+    name = F.regexp_extract("_file", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return f.join(pieces, ["_file", "_piece"]).select(name.alias("record_id"), (F.col("_id") + F.col("_move")).alias("no"), F.regexp_replace("line", r"\r$", "").alias("line"))
+
+
+def _together(lines: DataFrame) -> DataFrame:
+    """(record_id, l): the lines of each record as an array; for headers."""
+    a = lines.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("_l"))
+    return a.select("record_id", F.transform("_l", lambda x: x["line"]).alias("l"))
+
+
+def _data_from(lines: DataFrame) -> DataFrame:
+    """(record_id, _from): the number of the line [Data]."""
+    return lines.filter(F.trim("line") == "[Data]").groupBy("record_id").agg(F.min("no").alias("_from"))
 
 
 def _number(c: Column) -> Column:
@@ -40,9 +60,9 @@ def read_bard_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     The sample count may be followed by a clock of eight characters; rates and filters by Hz, ranges by mv. A channel's
     gain is the saturation over its range. ``count_mismatch`` tells records whose stated and listed channels differ.
     """
-    f = _whole(spark, path)
-    start = F.coalesce(F.array_position(F.transform("l", F.trim), "[Data]"), F.lit(0)).cast("int")
-    f = f.withColumn("head", F.when(start > 0, F.slice("l", F.lit(1), F.greatest(start - 1, F.lit(0)))).otherwise(F.col("l")))
+    lines = _lines(spark, path)
+    head = lines.join(_data_from(lines), "record_id", "left").filter(F.col("_from").isNull() | (F.col("no") < F.col("_from")))
+    f = _together(head).withColumnRenamed("l", "head")
     v = lambda key: _value(F.col("head"), key, r":\s+")
     per = F.slice("head", F.lit(_HEAD + 1), F.size("head"))
     f = f.withColumn("per", F.filter(per, lambda x: F.trim(x) != ""))
@@ -66,10 +86,9 @@ def read_bard_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 def read_bard_signal(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """(record_id, sample from 1, number, value) of the lines after [Data]; with ``n`` the first n samples."""
-    f = _whole(spark, path)
-    start = F.array_position(F.transform("l", F.trim), "[Data]").cast("int")
-    rows = f.filter(start > 0).select("record_id", F.posexplode(F.slice("l", start + 1, F.size("l"))).alias("pos", "line")).filter(F.trim("line") != "")
-    rows = rows.withColumn("sample", F.col("pos") + 1)
+    lines = _lines(spark, path)
+    rows = lines.join(_data_from(lines), "record_id").filter((F.col("no") > F.col("_from")) & (F.trim("line") != ""))
+    rows = rows.withColumn("sample", (F.col("no") - F.col("_from")).cast("int"))
     if n is not None:
         rows = rows.filter(F.col("sample") <= n)
     return rows.select("record_id", "sample", F.posexplode(F.split("line", ",")).alias("p", "v")).select("record_id", "sample", (F.col("p") + 1).alias("number"), F.trim("v").try_cast("double").alias("value"))
@@ -90,7 +109,7 @@ def read_bard(spark: SparkSession, path: str, n: int | None = None) -> tuple[Dat
 
 def read_prucka_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, channels) of .inf files: ``key = value`` lines and a table of channels, which are taken by number."""
-    f = _whole(spark, path)
+    f = _together(_lines(spark, path))
     f = f.withColumn("meta", F.filter("l", lambda x: F.size(F.split(x, r"\s*=\s*")) == 2))
     v = lambda key: _value(F.col("meta"), key, r"\s*=\s*")
     at = F.array_position(F.transform("l", lambda x: x.startswith("Channel Number")), True).cast("int")
@@ -112,7 +131,7 @@ def read_prucka_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 def read_prucka_signal(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """(record_id, sample from 1, number, value) of blank-separated text; every column is a channel."""
-    rows = _whole(spark, path).select("record_id", F.posexplode("l").alias("pos", "line")).filter(F.trim("line") != "").withColumn("sample", F.col("pos") + 1)
+    rows = _lines(spark, path).filter(F.trim("line") != "").withColumn("sample", (F.col("no") + 1).cast("int"))
     if n is not None:
         rows = rows.filter(F.col("sample") <= n)
     cells = F.posexplode(F.split(F.trim("line"), r"\s+")).alias("p", "v")
@@ -121,8 +140,9 @@ def read_prucka_signal(spark: SparkSession, path: str, n: int | None = None) ->
 
 def read_prucka(spark: SparkSession, signal_path: str, header_path: str | None = None, n: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, channels, signal); by default the .inf file beside the signal file is the header."""
-    header = header_path or os.path.splitext(signal_path)[0] + ".inf"
-    if "*" not in header and "://" not in header and not os.path.exists(header):
+    header = header_path or posixpath.splitext(signal_path)[0] + ".inf"
+    folder, _, name = header.rpartition("/")
+    if "*" not in header and not files.exists(folder or ".", name):
         raise FileNotFoundError(f"header file not found: {header}")
     records, channels = read_prucka_header(spark, header)
     s = read_prucka_signal(spark, signal_path, n)
@@ -144,15 +164,16 @@ _TWELVE = ("I", "II", "III", "AVR", "AVL", "AVF", "V1", "V2", "V3", "V4", "V5",
 
 def _int16(data: Column) -> Column:
     """Little-endian 16-bit integers of base64 text."""
-    h = F.hex(F.unbase64(F.regexp_replace(data, r"\s+", "")))
-
-    def at(i: Column) -> Column:
-        word = F.concat(F.substring(h, i * 4 + 3, F.lit(2)), F.substring(h, i * 4 + 1, F.lit(2)))
-        v = F.conv(word, 16, 10).cast("int")
+    def value(h: Column) -> Column:
+        v = F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("int")
         return F.when(v > 32767, v - 65536).otherwise(v)
 
-    n = F.floor(F.length(h) / 4).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<int>"))
+    def each(raw: Column) -> Column:
+        n = F.floor(F.length(raw) / 2).cast("int")
+        at = lambda i: let(F.hex(F.substring(raw, i * 2 + 1, F.lit(2))), value)  # noqa: E731, of bytes: no search from the start
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<int>"))
+
+    return let(F.unbase64(F.regexp_replace(data, r"\s+", "")), each)
 
 
 def read_muse(spark: SparkSession, path: str, root: str = "RestingECG") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from leadframe.functions.text import standard_label, start_time
+from leadframe.functions.text import make_unique, standard_label, start_time
 from leadframe.operators.durable import durable
+from leadframe.sources import files
 from leadframe.sources import wfdb_format as fmt
 
 #: Frames that one task reads.
@@ -29,9 +30,10 @@ def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     records: record_id, record_name, number_of_channels, frequency, samples, start_time, info (array of key and values).
     channels: record_id, number, file_name, storage_format, adc_gain, adc_baseline, adc_units, adc_resolution, adc_zero,
     initial_value, checksum, blocksize, label. What cannot be read as its type is null; blank lines are passed over.
+    Labels are those of :func:`own_labels`, under which the signal's channels come too.
     """
-    files = spark.read.option("pathGlobFilter", "*.hea").text(path, wholetext=True)
-    f = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.hea$", 1).alias("record_id"), F.split("value", r"\r?\n").alias("l"))
+    text = spark.read.option("pathGlobFilter", "*.hea").text(path, wholetext=True)
+    f = text.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.hea$", 1).alias("record_id"), F.split("value", r"\r?\n").alias("l"))
     f = f.withColumn("l", F.filter(F.transform("l", lambda x: F.trim(F.replace(x, F.lit("\t"), F.lit(" ")))), lambda x: x != ""))
     f = f.withColumn("info", F.filter("l", lambda x: x.startswith("#"))).withColumn("l", F.filter("l", lambda x: ~x.startswith("#")))
     first = F.split(F.get("l", F.lit(0)), r"\s+")
@@ -51,13 +53,30 @@ def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.regexp_extract(scale, r"^([^(/]+)", 1).try_cast("double").alias("adc_gain"), F.nullif(F.regexp_extract(scale, r"\(([^)]*)\)", 1), F.lit("")).try_cast("int").alias("adc_baseline"),
         F.coalesce(F.nullif(F.regexp_extract(scale, r"/(.+)$", 1), F.lit("")), F.lit("mV")).alias("adc_units"),
         *(F.get(c, F.lit(i)).try_cast("int").alias(x) for i, x in ((3, "adc_resolution"), (4, "adc_zero"), (5, "initial_value"), (6, "checksum"), (7, "blocksize"))),
-        F.trim(F.get(c, F.lit(8))).alias("label"),
+        F.trim(F.get(c, F.lit(8))).alias("_label"),
     )
-    return records, channels
+    blank = F.coalesce("_label", F.lit("")) == ""
+    channels = channels.withColumn("_label", F.when(blank, F.concat(F.lit("CH"), F.col("number").cast("string"))).otherwise(standard_label(F.col("_label"))))
+    return records, make_unique(channels, ["record_id"], "_label", "number", "label").drop("_label")
+
+
+def own_labels(labels: Sequence[str | None]) -> list[str]:
+    """The names of a record's channels: in standard form, CH<number> where a label is blank, each once (ECG, ECG_1, ...;
+    suffixes that are taken are passed over)."""
+    plain = [x.strip().upper().replace("_", " ") if x and x.strip() else f"CH{i + 1}" for i, x in enumerate(labels)]
+    taken, out = set(plain), []
+
+    def suffixed(x: str) -> Iterator[str]:
+        return (y for k in itertools.count(1) if (y := f"{x}_{k}") not in taken)
+
+    free = {x: suffixed(x) for x in taken}
+    for i, x in enumerate(plain):
+        out.append(next(free[x]) if x in plain[:i] else x)
+    return out
 
 
 def header_text(record: dict, channels: Sequence[dict], info: Sequence[tuple[str, Sequence[str]]] = ()) -> str:
-    """Header file of one record; numbers in their shortest exact form."""
+    """Header file of one record; numbers in their shortest exact form, blanks in units as underscores."""
     num = lambda v, d: d if v is None else f"{v:.17g}" if float(v) != float(f"{v:g}") else f"{v:g}"
     start = record.get("start_time")
     when = [start.strftime("%H:%M:%S %d/%m/%Y")] if start is not None else []
@@ -66,7 +85,7 @@ def header_text(record: dict, channels: Sequence[dict], info: Sequence[tuple[str
         base = "" if c.get("adc_baseline") is None else f"({c['adc_baseline']})"
         out.append(
             "\t".join(
-                [c["file_name"], str(c["storage_format"]), f"{num(c.get('adc_gain'), '200')}{base}/{c.get('adc_units') or 'mV'}"]
+                [c["file_name"], str(c["storage_format"]), f"{num(c.get('adc_gain'), '200')}{base}/{'_'.join((c.get('adc_units') or '').split()) or 'mV'}"]
                 + [str(d if c.get(k) is None else c[k]) for k, d in (("adc_resolution", 12), ("adc_zero", 0), ("initial_value", 0), ("checksum", 0), ("blocksize", 0))]
                 + [c.get("label") or ""]
             )
@@ -84,6 +103,7 @@ def header_text(record: dict, channels: Sequence[dict], info: Sequence[tuple[str
 @dataclass
 class _Range(InputPartition):
     record: str
+    folder: str
     file: str
     formats: tuple[int, ...]
     gains: tuple[float, ...]
@@ -94,7 +114,7 @@ class _Range(InputPartition):
 
 
 class WfdbSource(DataSource):
-    """Signal of records in a folder that all executors see: (record_id, sample, label, value), long, samples from 0.
+    """Signal of records in a folder (path or URI) that all executors see: (record_id, sample, label, value), long, samples from 0.
 
     Options: ``path``, ``records`` (names, comma-separated; default all), ``begin`` and ``end`` (samples, half open),
     ``channels`` (names or 1-based places, comma-separated), ``units`` (digital or physical), ``frames`` (per task).
@@ -162,39 +182,41 @@ class WfdbReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         folder = self.options["path"]
-        names = [x for x in self.options.get("records", "").split(",") if x] or sorted(x[:-4] for x in os.listdir(folder) if x.endswith(".hea"))
+        names = [x for x in self.options.get("records", "").split(",") if x] or files.names(folder, ".hea")
+        for name in names:
+            if not files.exists(folder, f"{name}.hea"):
+                raise FileNotFoundError(f"{name} not found in {folder}")
         step = int(self.options.get("frames", FRAMES))
         physical = self.options.get("units", "digital") == "physical"
         out: list[InputPartition] = []
-        for name in names:
-            header = os.path.join(folder, f"{name}.hea")
-            if not os.path.exists(header):
-                raise FileNotFoundError(f"{name} not found in {folder}")
-            with open(header, encoding="utf-8") as f:
-                first, lines = parse_header(f.read())
+        for name, text in zip(names, files.read_all(folder, [f"{name}.hea" for name in names]), strict=True):
+            first, lines = parse_header(text.decode())
             if len({x[0] for x in lines}) > 1:
                 raise ValueError(f"{name}: records over several signal files are not supported")
+            if not lines:
+                continue
             formats = tuple(int(x[1]) for x in lines)
-            labels = [(x[8].strip() if len(x) > 8 and x[8].strip() else f"CH{i + 1}").upper().replace("_", " ") for i, x in enumerate(lines)]
+            labels = own_labels([x[8] if len(x) > 8 else None for x in lines])
             wanted = [x.strip() for x in self.options.get("channels", "").split(",") if x.strip()]
             picks = pick_channels(labels, wanted) if wanted else list(enumerate(labels))
             scales = [_scale(x[2]) if len(x) > 2 else (200.0, 0) for x in lines]
-            file = os.path.join(folder, lines[0][0])
             _, size = fmt.layout(formats)
             total = int(first[3]) if len(first) > 3 and first[3].isdigit() else 0
             if total <= 0:
-                if os.path.getsize(file) % size:
+                held = files.size(folder, lines[0][0])
+                if held % size:
                     raise ValueError(f"{name}: the signal file does not hold whole frames")
-                total = os.path.getsize(file) // size
+                total = held // size
             low, high = max(0, self.low), total if self.high is None else min(total, self.high)
             gains = tuple(g if physical else 1.0 for g, _ in scales)
             baselines = tuple(b if physical else 0 for _, b in scales)
-            out += [_Range(name, file, formats, gains, baselines, tuple(picks), a, min(a + step, high)) for a in range(low, high, step)]
+            out += [_Range(name, folder, lines[0][0], formats, gains, baselines, tuple(picks), a, min(a + step, high)) for a in range(low, high, step)]
         return out
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         _, size = fmt.layout(partition.formats)
-        with open(partition.file, "rb") as f:
+        system, path = files.filesystem(partition.folder)
+        with system.open_input_file(f"{path}/{partition.file}") as f:
             f.seek(partition.begin * size)
             at = partition.begin
             while at < partition.end:
@@ -215,9 +237,11 @@ class WfdbReader(DataSourceReader):
 
 
 def read_signal(spark: SparkSession, folder: str, records: Sequence[str] = (), channels: Sequence[str | int] = (), begin: int = 0, end: int | None = None, units: str = "digital", frames: int = FRAMES) -> DataFrame:
-    """Signal of the records in ``folder`` (default: all), long. See :class:`WfdbSource`."""
+    """Signal of the records in ``folder`` (a path or URI; default: all), long. See :class:`WfdbSource`."""
     if units not in ("digital", "physical"):
         raise ValueError("units are digital or physical")
+    # Without this a Python source that takes filters does not start.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WfdbSource)
     r = spark.read.format("leadframe_wfdb").option("units", units).option("begin", begin).option("frames", frames)
     if records:
@@ -236,7 +260,7 @@ _MARKS = "record_id string, annotator string, sample int, type string, subtype i
 
 def read_annotations(spark: SparkSession, folder: str, annotator: str, records: Sequence[str] = ()) -> DataFrame:
     """Marks of the files ``<record>.<annotator>`` in ``folder``; one file is decoded by one task. Empty files give no rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{annotator}").load(folder).select("path", "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{annotator}").load(folder).select("path", "content")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,16 +272,16 @@ def read_annotations(spark: SparkSession, folder: str, annotator: str, records:
                 names = ["record_id", "annotator", "sample", "type", "subtype", "channel", "number", "row_no"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    out = files.mapInArrow(work, _MARKS)
+    out = found.mapInArrow(work, _MARKS)
     return out.filter(F.col("record_id").isin(*records)) if records else out
 
 
 def write_annotations(annotations: DataFrame, folder: str, annotator: str, key: str = "record_id") -> DataFrame:
-    """One file per record, written aside and then renamed; returns (record_id, path, marks) once all are written.
+    """One file per record, written aside and then moved; returns (record_id, path, marks) once all are written.
 
     Rows with a null sample are refused. Of equal samples, ``row_no`` decides if there is one.
     """
-    os.makedirs(folder, exist_ok=True)
+    files.make(folder)
     order = ["sample"] + (["row_no"] if "row_no" in annotations.columns else [])
     a = annotations.select(F.col(key).alias("record_id"), "sample", "type", "subtype", "channel", "number", *order[1:])
 
@@ -266,105 +290,156 @@ def write_annotations(annotations: DataFrame, folder: str, annotator: str, key:
         if any(m["sample"] is None for m in marks):
             raise ValueError("an annotation has no sample")
         name = marks[0]["record_id"]
-        path = os.path.join(folder, f"{name}.{annotator}")
-        with open(f"{path}.part", "wb") as f:
-            f.write(fmt.encode_annotations(marks))
-        os.replace(f"{path}.part", path)
-        return pa.table({"record_id": [name], "path": [path], "marks": pa.array([len(marks)], pa.int32())})
+        files.put(folder, f"{name}.{annotator}", fmt.encode_annotations(marks))
+        return pa.table({"record_id": [name], "path": [f"{folder}/{name}.{annotator}"], "marks": pa.array([len(marks)], pa.int32())})
 
-    rows = a.groupBy("record_id").applyInArrow(work, "record_id string, path string, marks int").collect()
-    return annotations.sparkSession.createDataFrame([tuple(r) for r in rows], "record_id string, path string, marks int")
+    return durable(a.groupBy("record_id").applyInArrow(work, "record_id string, path string, marks int"))
 
 
 # ---- writer ----------------------------------------------------------------------------------------------------------
 
 
 def _numbered(signal: DataFrame, channels: DataFrame) -> DataFrame:
-    """(record_id, label, number) for every label of the signal, null ones too; ValueError if one has no channel."""
-    blank = F.trim(F.coalesce("label", F.lit(""))) == ""
-    every = Window.partitionBy("record_id")
-    own = channels.select("record_id", "number", F.when(F.bool_and(blank).over(every), F.concat(F.lit("CH"), "number")).otherwise(F.coalesce(standard_label(F.col("label")), F.lit(""))).alias("label"))
-    has = own.groupBy("record_id").agg(F.collect_list(F.struct("number", "label")).alias("_own"))
-    given = signal.groupBy("record_id").agg(F.collect_set(F.coalesce(standard_label(F.col("label")), F.lit(""))).alias("_given"))
+    """(record_id, label, number) for every label of the signal, null ones too; ValueError if one has no channel.
+
+    A label is first looked for as it is, then in standard form among the channels that are left; a channel without any label is
+    CH<number>.
+    """
+    plain = F.coalesce(F.trim("label"), F.lit(""))
+    named = F.when(plain == "", F.concat(F.lit("CH"), F.col("number").cast("string"))).otherwise(plain)
+    own = channels.select("record_id", "number", named.alias("name"))
+    has = own.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("number", "name"))).alias("_own"))
+    given = signal.groupBy("record_id").agg(F.array_sort(F.collect_set(F.coalesce("label", F.lit("")))).alias("_given"))
     both = given.join(has, "record_id", "left").withColumn("_own", F.coalesce("_own", F.array().cast(dict(has.dtypes)["_own"])))
-    named = lambda c: F.transform(c, lambda x: x["label"])
-    both = both.withColumn("_over", F.array_except("_given", named("_own"))).withColumn("_free", F.filter("_own", lambda x: ~F.array_contains("_given", x["label"])))
-    both = durable(both)
-    # A long table has no order of columns, so places are known only where one label and one channel are left.
-    lost = both.filter((F.size("_over") > 0) & ((F.size("_over") > 1) | (F.size("_free") != 1) | (F.size("_given") != F.size("_own")))).select("record_id", "_over").head()
-    if lost:
-        raise ValueError(f"{lost['record_id']}: no channel for the signal's label {', '.join(sorted(lost['_over'])) or '(none)'}")
-    matched = both.select("record_id", F.explode(F.filter("_own", lambda x: F.array_contains("_given", x["label"]))).alias("_c")).select("record_id", "_c.label", "_c.number")
-    left = both.filter(F.size("_over") == 1).select("record_id", F.col("_over")[0].alias("label"), F.col("_free")[0]["number"].alias("number"))
-    return matched.unionByName(left)
 
+    def matched(rows: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for record, given_, own_ in zip(rows["record_id"].to_pylist(), rows["_given"].to_pylist(), rows["_own"].to_pylist(), strict=True):
+            left = [(c["number"], c["name"]) for c in own_]
+            found: dict[str, int] = {}
+            for form in (lambda x: x, lambda x: x.strip().upper().replace("_", " ")):
+                for label in [x for x in given_ if x not in found]:
+                    hit = next((c for c in left if form(c[1]) == form(label)), None)
+                    if hit:
+                        found[label] = hit[0]
+                        left.remove(hit)
+            over = [x for x in given_ if x not in found]
+            # A long table has no order of columns, so places are known only where one label and one channel are left.
+            if len(over) == 1 and len(left) == 1 and len(given_) == len(own_):
+                found[over.pop()] = left[0][0]
+            if over:
+                raise ValueError(f"{record}: no channel for the signal's label {', '.join(over) or '(none)'}")
+            out += [(record, k, v) for k, v in found.items()]
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        return pa.table({"record_id": pa.array(cols[0], pa.string()), "label": pa.array(cols[1], pa.string()), "number": pa.array(cols[2], pa.int32())})
 
-def write_records(signal: DataFrame, records: DataFrame, channels: DataFrame, folder: str, units: str = "digital") -> DataFrame:
-    """``<record>.dat`` and ``<record>.hea`` per record; returns (record_id, path, frames).
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from matched(pa.Table.from_batches([b])).to_batches()
 
-    ``signal`` is long; labels are matched with the channels' in standard form (channels without any label are CH1, CH2,
-    ...). If as many labels as channels are there and one of each is left, these go together; any other label without a
-    channel is an error. A channel without samples holds 0. In physical units counts are value * gain + baseline, rounded half away from zero; all counts are held in the range of
-    the channel's format. A record's rows are sorted in one task and written as they stream by, so that its length does
-    not matter; files are written aside and then renamed, so that a repeated task does no harm.
-    """
-    os.makedirs(folder, exist_ok=True)
+    try:
+        return durable(both.mapInArrow(work, "record_id string, label string, number int"))
+    except Exception as e:  # the task's error, as the caller's
+        if "no channel for the signal's label" in str(e):
+            raise ValueError(next(x for x in str(e).splitlines() if "no channel for" in x).split("ValueError: ")[-1]) from None
+        raise
+
+
+def write_headers(records: DataFrame, channels: DataFrame, folder: str) -> DataFrame:
+    """``<record>.hea`` per record, of (record_id, record_name, frequency, samples, start_time[, info]) and channels; returns
+    (``name``, ``bytes``). Labels are written as they are, null ones blank."""
+    heads = _heads(records, channels)
+
+    def text(b: pa.RecordBatch) -> list[str]:
+        return [header_text(h, c, e) for h, c, e in (_head_of(r) for r in b.to_pylist())]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{x}.hea" for x in b["record_id"].to_pylist()], pa.string()), pa.array(text(b), pa.string())], names=["name", "content"])
+
+    return files.write_files(heads.mapInArrow(work, "name string, content string"), folder)
+
+
+def _heads(records: DataFrame, channels: DataFrame) -> DataFrame:
+    """One row per record with its channels and info as JSON."""
     c = channels.select("record_id", F.struct(*[x for x in channels.columns if x != "record_id"]).alias("_c"))
     heads = c.groupBy("record_id").agg(F.to_json(F.array_sort(F.collect_list("_c"), lambda a, b: a["number"] - b["number"])).alias("channels"))
     info = F.to_json("info") if "info" in records.columns else F.lit("[]")
-    heads = heads.join(records.select("record_id", "record_name", "frequency", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"), info.alias("info")), "record_id")
+    when = F.date_format("start_time", "yyyy-MM-dd HH:mm:ss") if "start_time" in records.columns else F.lit(None).cast("string")
+    samples = F.col("samples").cast("bigint") if "samples" in records.columns else F.lit(None).cast("bigint")
+    return heads.join(records.select("record_id", "record_name", "frequency", samples.alias("samples"), when.alias("start_time"), info.alias("info")), "record_id")
+
+
+def _head_of(row: Mapping) -> tuple[dict, list[dict], list[tuple]]:
+    import json
+    from datetime import datetime
+
+    start = datetime.strptime(row["start_time"], "%Y-%m-%d %H:%M:%S") if row["start_time"] else None
+    channels = [{"file_name": f"{row['record_id']}.dat"} | c for c in json.loads(row["channels"])]
+    for c in channels:
+        c["storage_format"] = 16 if c.get("storage_format") is None else c["storage_format"]
+    extra = [(x.get("key"), x.get("values") or []) for x in json.loads(row["info"] or "[]")]
+    return {"record_name": row["record_name"], "frequency": row["frequency"], "samples": row["samples"], "start_time": start}, channels, extra
+
+
+def write_records(signal: DataFrame, records: DataFrame, channels: DataFrame, folder: str, units: str = "digital") -> DataFrame:
+    """``<record>.dat`` and ``<record>.hea`` per record; returns (record_id, path, frames).
+
+    ``signal`` is long; its labels are matched with the channels' as they are, then in standard form (a channel without a label
+    is CH<number>). If as many labels as channels are there and one of each is left, these go together; any other label
+    without a channel is an error. A channel without samples holds 0, and so do null readings and those that are not finite. In
+    physical units counts are value * gain + baseline (a gain of 0 multiplies nothing), rounded half away from zero; all counts are held in the range of the
+    channel's format. A record's rows are sorted in one task and written as they stream by, so that its length does not
+    matter; files are written under a name of the task's attempt and then moved, so that a repeated task does no harm.
+    """
+    files.make(folder)
+    heads = _heads(records, channels).drop("samples")
     order = _numbered(signal, channels).join(channels.select("record_id", "number", "adc_gain", "adc_baseline"), ["record_id", "number"])
-    label = F.coalesce(standard_label(F.col("label")), F.lit("")).alias("label")
-    s = signal.select("record_id", "sample", label, "value").join(order, ["record_id", "label"])
+    s = signal.select("record_id", "sample", F.coalesce("label", F.lit("")).alias("label"), "value").join(order, ["record_id", "label"])
     if units == "physical":
-        s = s.withColumn("value", F.col("value") * F.coalesce("adc_gain", F.lit(200.0)) + F.coalesce("adc_baseline", F.lit(0)))
-    frames = s.groupBy("record_id", "sample").agg(F.map_from_entries(F.collect_list(F.struct("number", F.round("value").cast("bigint").alias("v")))).alias("v"))
+        gain = F.coalesce("adc_gain", F.lit(200.0))
+        s = s.withColumn("value", F.col("value") * F.when(gain == 0, 1.0).otherwise(gain) + F.coalesce("adc_baseline", F.lit(0)))
+    value = F.col("value").cast("double")
+    whole = F.when(~F.isnan(value) & (F.abs(value) < 9e18), F.round(value)).cast("bigint")
+    frames = s.groupBy("record_id", "sample").agg(F.map_from_entries(F.collect_list(F.struct("number", whole.alias("v")))).alias("v"))
     rows = frames.join(heads, "record_id").repartition("record_id").sortWithinPartitions("record_id", "sample")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-        from datetime import datetime
-
         state: dict = {}
 
-        def close() -> tuple | None:
+        def close() -> list[tuple]:
             if not state:
-                return None
+                return []
             state["f"].close()
-            name, h = state["name"], state["head"]
-            os.replace(f"{folder}/{name}.dat.part", f"{folder}/{name}.dat")
-            start = datetime.strptime(h["start_time"], "%Y-%m-%d %H:%M:%S") if h["start_time"] else None
+            name = state["name"]
+            head = state["head"] | {"samples": state["n"]}
             chans = [x | {"file_name": f"{name}.dat"} for x in state["channels"]]
-            extra = [(x.get("key"), x.get("values") or []) for x in json.loads(h["info"] or "[]")]
-            text = header_text({"record_name": name, "frequency": h["frequency"], "samples": state["n"], "start_time": start}, chans, extra)
-            with open(f"{folder}/{name}.hea.part", "w", encoding="utf-8") as f:
-                f.write(text)
-            os.replace(f"{folder}/{name}.hea.part", f"{folder}/{name}.hea")
-            done = (name, f"{folder}/{name}.hea", state["n"])
+            files.put(folder, f"{name}.hea", header_text(head, chans, state["extra"]).encode())
+            done = [(name, f"{folder}/{name}.hea", state["n"])]
             state.clear()
             return done
 
         def batch(done: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())], names=["record_id", "path", "frames"])
 
-        for b in batches:
-            done, pending = [], []
-
-            def flush(pending: list) -> None:
-                if pending:
-                    numbers = [x["number"] for x in state["channels"]]
-                    counts = np.array([[v.get(n) or 0 for n in numbers] for v in pending], np.int64).reshape(len(pending), len(numbers))
-                    state["f"].write(fmt.encode(counts, [x["storage_format"] for x in state["channels"]]))
-                    state["n"] += len(pending)
-                    pending.clear()
+        def flush(pending: list) -> None:
+            if pending:
+                numbers = [x["number"] for x in state["channels"]]
+                counts = np.array([[v.get(n) or 0 for n in numbers] for v in pending], np.int64).reshape(len(pending), len(numbers))
+                state["f"].write(fmt.encode(counts, [x["storage_format"] for x in state["channels"]]))
+                state["n"] += len(pending)
+                pending.clear()
 
+        for b in batches:
+            done: list[tuple] = []
+            pending: list[dict] = []
             for r in b.to_pylist():
                 if state.get("name") != r["record_id"]:
                     if state:
                         flush(pending)
-                    end = close()
-                    done += [end] if end else []
-                    state.update(name=r["record_id"], head=r, channels=json.loads(r["channels"]), n=0, f=open(f"{folder}/{r['record_id']}.dat.part", "wb"))
+                    done += close()
+                    head, chans, extra = _head_of(r | {"samples": None})
+                    state.update(name=r["record_id"], head=head, channels=chans, extra=extra, n=0, f=files.Aside(folder, f"{r['record_id']}.dat"))
                 pending.append(dict(r["v"]))
             if state:
                 flush(pending)
@@ -372,7 +447,6 @@ def write_records(signal: DataFrame, records: DataFrame, channels: DataFrame, fo
                 yield batch(done)
         end = close()
         if end:
-            yield batch([end])
+            yield batch(end)
 
-    out = rows.mapInArrow(work, "record_id string, path string, frames bigint").collect()
-    return signal.sparkSession.createDataFrame([tuple(r) for r in out], "record_id string, path string, frames bigint")
+    return durable(rows.mapInArrow(work, "record_id string, path string, frames bigint"))

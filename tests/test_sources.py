@@ -76,8 +76,8 @@ def _recording(spark, n=50, name="rec"):
 def test_write_and_read_again(spark, tmp_path):
     rec, cols = _recording(spark)
     folder = str(tmp_path / "out")
-    assert [tuple(r) for r in api.write_wfdb(rec, folder).collect()] == [("rec", f"{folder}/rec.hea", 50)]
-    assert api.write_annotation(rec.annotations, "atr", folder).first()["marks"] == 6
+    assert [tuple(r) for r in api.write_wfdb(rec, record_dir=folder).collect()] == [("rec", f"{folder}/rec.hea", 50)]
+    assert api.write_annotation(rec.annotations, "atr", record_dir=folder).first()["marks"] == 6
     back = api.read_wfdb(spark, "rec", folder, "atr")
     got = {k: [r["value"] for r in back.signal.filter(F.col("label") == k).orderBy("sample").collect()] for k in cols}
     assert got == cols
@@ -92,7 +92,7 @@ def test_write_and_read_again(spark, tmp_path):
 def test_ranges_channels_units(spark, tmp_path):
     rec, cols = _recording(spark)
     folder = str(tmp_path)
-    api.write_wfdb(rec, folder)
+    api.write_wfdb(rec, record_dir=folder)
     part = api.read_signal(spark, "rec", folder, begin=0.04, end=0.08, channels=["v1", 1, "V1"])
     assert sorted({r["sample"] for r in part.collect()}) == list(range(10, 20)) and part.count() == 30
     physical = api.read_signal(spark, "rec", folder, units="physical", channels=["I"]).orderBy("sample").collect()
@@ -110,7 +110,7 @@ def test_physical_values_come_back(spark, tmp_path):
     rec, cols = _recording(spark)
     folder = str(tmp_path)
     scaled = {"I": [v / 100 for v in range(-25, 25)], "V1": [v / 50 for v in range(-25, 25)]}
-    api.write_wfdb(api.recording(api.signal_table(spark, {"sample": list(range(50)), **scaled}, "rec"), rec.records, rec.channels), folder, "physical")
+    api.write_wfdb(api.recording(api.signal_table(spark, {"sample": list(range(50)), **scaled}, "rec"), rec.records, rec.channels), record_dir=folder, units="physical")
     back = api.read_signal(spark, "rec", folder, units="physical").collect()
     assert all(abs(r["value"] - scaled[r["label"]][r["sample"]]) <= 0.5 / 200 + 1e-9 for r in back)
 
@@ -122,7 +122,7 @@ def test_header_text_with_gaps(spark, tmp_path):
     assert (r["frequency"], r["number_of_channels"], r["start_time"]) == (360.0, 3, dt.datetime(2021, 4, 5, 10, 20, 30))
     assert [(x["key"], x["values"]) for x in r["info"]] == [("source", ["A", "B"]), ("one", ["line", "of", "prose"])]
     c = channels.orderBy("number").collect()
-    assert [(x["adc_gain"], x["adc_baseline"], x["adc_units"], x["adc_zero"], x["label"]) for x in c] == [(296.0, None, "mV", None, None), (None, 7, "uV", None, "ECG one"), (200.0, 0, "mV", 0, None)]
+    assert [(x["adc_gain"], x["adc_baseline"], x["adc_units"], x["adc_zero"], x["label"]) for x in c] == [(296.0, None, "mV", None, "CH1"), (None, 7, "uV", None, "ECG ONE"), (200.0, 0, "mV", 0, "CH3")]
 
 
 def test_bard(spark, tmp_path):
@@ -173,3 +173,90 @@ def test_written_labels_have_a_channel(spark, tmp_path):
     for bad in (["V1", "V2"], ["I", "ECG II", "V1"]):
         with pytest.raises(ValueError):
             write(bad, "b")
+
+
+def _frames(spark, folder):
+    return {(r["record_id"], r["label"]): r["v"] for r in wfdb.read_signal(spark, folder).groupBy("record_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "value"))), lambda x: x["value"]).alias("v")).collect()}
+
+
+@pytest.mark.parametrize("labels", [["ECG", "ECG", "ECG_1"], [None, "", None], ["I", None, "I"]])
+def test_repeated_and_blank_labels_keep_their_channels(spark, tmp_path, labels):
+    (tmp_path / "r.hea").write_text("\n".join(["r 3 250 0", *(f"r.dat\t16\t200/mV\t12\t0\t0\t0\t0\t{x or ''}" for x in labels)]) + "\n")
+    counts = np.array([[1, 10, 100], [2, 20, 200]])
+    (tmp_path / "r.dat").write_bytes(fmt.encode(counts, [16] * 3))
+    rec = api.read_wfdb(spark, "r", str(tmp_path))
+    names = [c["label"] for c in rec.channels.orderBy("number").collect()]
+    assert len(set(names)) == 3 and names == wfdb.own_labels(labels)
+    assert _frames(spark, str(tmp_path)) == {("r", n): [float(v) for v in counts[:, i]] for i, n in enumerate(names)}
+    wide = api.extract_signal(rec).orderBy("sample").collect()
+    assert [[r[n] for n in names] for r in wide] == counts.tolist()
+    out = str(tmp_path / "out")
+    assert [tuple(r)[::2] for r in api.write_wfdb(rec, record_dir=out).collect()] == [("r", 2)]
+    assert sorted(_frames(spark, out).values()) == sorted([float(v) for v in counts[:, i]] for i in range(3))
+
+
+def test_own_labels():
+    assert wfdb.own_labels(["ecg", "ECG", "ECG 1", "ecg", "a_b", None, " "]) == ["ECG", "ECG_1", "ECG 1", "ECG_2", "A B", "CH6", "CH7"]
+    assert wfdb.own_labels(["A", "A", "A"]) == ["A", "A_1", "A_2"] and wfdb.own_labels([]) == []
+
+
+def test_columns_go_by_label_then_by_place_else_stop(spark, tmp_path):
+    header = api.header_table(spark, ["I", "II"], "r", 250.0)
+    wide = spark.createDataFrame([(0, 1.0, 10.0), (1, 2.0, None)], "sample int, b double, a double")
+    assert api.write_wfdb(wide, record_dir=str(tmp_path / "place"), header=header).first()["frames"] == 2
+    assert _frames(spark, str(tmp_path / "place")) == {("r", "I"): [1.0, 2.0], ("r", "II"): [10.0, 0.0]}
+    api.write_wfdb(wide.toDF("sample", "II", "I"), "named", str(tmp_path / "label"), header, {"note": ["x", 1]})
+    assert _frames(spark, str(tmp_path / "label")) == {("named", "I"): [10.0, 0.0], ("named", "II"): [1.0, 2.0]}
+    assert "# note x 1" in (tmp_path / "label" / "named.hea").read_text() and (tmp_path / "label" / "named.hea").read_text().startswith("named 2 250 2")
+    for bad in (wide.select("sample", "a"), wide.select("sample"), wide.withColumn("c", F.lit(1.0))):
+        with pytest.raises(ValueError):
+            api.write_wfdb(bad, record_dir=str(tmp_path / "bad"), header=header)
+    with pytest.raises(ValueError):
+        api.write_wfdb(wide, record_dir=str(tmp_path / "bad"))
+    with pytest.raises(ValueError):
+        api.write_wfdb(wide, record_dir=str(tmp_path / "bad"), header=header, info_strings={"": ["x"]})
+    rec, _ = _recording(spark)
+    with pytest.warns(UserWarning):
+        api.write_wfdb(rec, record_dir=str(tmp_path / "own"), header=header)
+
+
+def test_odd_values_are_written_as_zero_or_held(spark, tmp_path):
+    records, channels = api.header_table(spark, ["I"], "r", 250.0, adc_gain=0.0, adc_baseline=3)
+    s = spark.createDataFrame([("r", i, "I", v) for i, v in enumerate([1.5, -2.5, float("nan"), float("inf"), None, 1e12, -1e12])], "record_id string, sample int, label string, value double")
+    wfdb.write_records(s, records, channels, str(tmp_path / "d"))
+    assert _frames(spark, str(tmp_path / "d")) == {("r", "I"): [2, -3, 0, 0, 0, 32767, -32768]}
+    wfdb.write_records(s.limit(2), records, channels, str(tmp_path / "p"), "physical")
+    assert _frames(spark, str(tmp_path / "p")) == {("r", "I"): [5, 1]}  # 4.5 and 0.5, away from zero
+
+
+def test_folders_by_uri_and_no_parts_left(spark, tmp_path):
+    rec, cols = _recording(spark)
+    folder = (tmp_path / "by uri").as_uri().replace("%20", "_")
+    api.write_wfdb(rec, record_dir=folder)
+    api.write_annotation(rec.annotations, "atr", record_dir=folder)
+    back = api.read_wfdb(spark, "rec", folder, "atr", channels=["V1"])
+    assert [r["value"] for r in back.signal.orderBy("sample").collect()] == cols["V1"] and back.annotations.count() == 6
+    assert not [x for x in (tmp_path / "by_uri").iterdir() if x.name.endswith(".part")]
+
+
+def test_lines_of_a_file_read_in_pieces(spark, tmp_path):
+    text = "".join(f"line {i}\r\n" for i in range(5000))
+    (tmp_path / "big.txt").write_text(text, newline="")
+    (tmp_path / "other.txt").write_text("a\nb")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = vendors._lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert {(r["no"], r["line"]) for r in got if r["record_id"] == "big"} == {(i, f"line {i}") for i in range(5000)} and {(r["no"], r["line"]) for r in got if r["record_id"] == "other"} == {(0, "a"), (1, "b")}
+
+
+def test_tables_combined(spark):
+    a = spark.createDataFrame([(1, "x")], "sample int, type string")
+    b = spark.createDataFrame([(2.5, 7)], "sample double, number int")
+    assert sorted(tuple(r) for r in api.combine(a, b).select("sample", "type", "number").collect()) == [(1.0, "x", None), (2.5, None, 7)]
+    with pytest.raises(TypeError):
+        api.combine(a, b.withColumnRenamed("number", "type"))
+    with pytest.raises(TypeError):
+        api.combine(a, 3)
