@@ -4,6 +4,10 @@ Values are cut into tokens. Each distinct token is joined to the vocabulary of t
 word meet where they share a form with one letter left out, so that no pair is formed that is not close. The repaired
 tokens then rank whole entries by soft TF-IDF: a token counts by its rarity in the reference and by how closely it was
 read; a token the reference does not know counts fully against the match. Below a threshold a value means no entry.
+
+What words stand for is learnt from the reference itself where it has longer names beside the short ones (coronary sinus
+beside CS). Value and entry meet only in a token that is among the rarest of both: without one they cannot reach the
+threshold, so that a token that many entries share pairs nothing by itself.
 """
 
 from __future__ import annotations
@@ -20,11 +24,9 @@ from pyspark.sql import types as T
 
 from leadframe.operators.durable import durable
 
-# What a word of a channel name stands for; "" for words that name no channel by themselves.
+# Words beside channel names that the list's long names do not have; "" for words that name no channel by themselves.
 CHANNEL_WORDS = {
-    "LEAD": "", "LEADS": "", "ECG": "", "SURFACE": "", "LIMB": "", "CHEST": "", "PRECORDIAL": "", "BIPOLE": "", "BUNDLE": "", "CATHETER": "", "CATH": "",
-    "OLD": "", "RIGHT": "", "ATRIUM": "RA", "VENTRICLE": "RV", "CORONARY": "CS", "SINUS": "CS", "DUODECAPOLAR": "DD", "ABLATION": "ABL",
-    "DISTAL": "D", "DIST": "D", "PROXIMAL": "P", "PROX": "P", "MIDDLE": "M", "MID": "M",
+    "LEADS": "", "ECG": "", "LIMB": "", "CHEST": "", "PRECORDIAL": "", "BIPOLE": "", "CATHETER": "", "CATH": "", "BUNDLE": "", "OLD": "", "DIST": "D", "PROX": "P", "MIDDLE": "M",
 }
 # Other names of entries.
 CHANNEL_NAMES = {"1": "I", "2": "II", "3": "III"}
@@ -111,6 +113,38 @@ def repair(found: DataFrame, vocabulary: DataFrame, shortest: int = 3, long: int
     return exact.unionByName(one.filter("_n = 1").select("token", "word", "meaning", closeness.alias("closeness")))
 
 
+def words_of_names(reference: DataFrame, short: str, long: str) -> DataFrame:
+    """(``word``, ``meaning``): what words of the long names stand for in the short ones.
+
+    Tokens that both names have stand for themselves. If the last tokens differ, the last word stands for the last token; all
+    other words stand for the first one. A word that stands for several things by different entries stands for nothing ("").
+    """
+    r = reference.select(_tokens(short).alias("s"), _tokens(long).alias("l")).dropna().filter((F.size("s") > 0) & (F.size("l") > 0))
+    both = F.arrays_overlap(F.slice("s", -1, 1), F.slice("l", -1, 1))
+    pairs = F.transform(
+        "l", lambda w, i: F.struct(w.alias("word"), F.when(~both & (i == F.size("l") - 1), F.element_at("s", -1)).otherwise(F.element_at("s", 1)).alias("meaning"))
+    )
+    own = F.filter(pairs, lambda p: ~F.array_contains("s", p["word"]) & p["word"].rlike(r"^\p{L}+$"))
+    each = r.select(F.explode(own).alias("p")).select("p.word", "p.meaning")
+    return each.groupBy("word").agg(F.when(F.count_distinct("meaning") == 1, F.min("meaning")).otherwise("").alias("meaning"))
+
+
+def _prefix(tokens: Column, norm: Column, threshold: float) -> Column:
+    """Meanings of ``tokens`` (structs with ``idf``, ``meaning``; rarest first) from which on the rest may still reach the threshold."""
+    n = F.size(tokens)
+    rest = lambda i: F.aggregate(F.slice(tokens, i + 1, n), F.lit(0.0), lambda acc, x: acc + x["idf"] * x["idf"])
+    kept = F.filter(F.transform(tokens, lambda x, i: F.struct(x["meaning"].alias("meaning"), rest(i).alias("rest"))), lambda x: x["rest"] >= threshold * threshold * norm * norm - 1e-9)
+    return F.transform(kept, lambda x: x["meaning"])
+
+
+def _weighed(bag: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, ``tokens``, ``norm``, ``prefix``) of a bag with ``meaning``, ``idf`` and perhaps ``closeness``."""
+    more = ["closeness"] if "closeness" in bag.columns else []
+    b = bag.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idf", "meaning", *more)), asc=False).alias("tokens"))
+    b = b.withColumn("norm", F.sqrt(F.aggregate("tokens", F.lit(0.0), lambda acc, x: acc + x["idf"] * x["idf"])))
+    return b.withColumn("prefix", _prefix(F.col("tokens"), F.col("norm"), threshold))
+
+
 def map_to_reference(
     values: DataFrame,
     value: str,
@@ -120,13 +154,16 @@ def map_to_reference(
     words: Mapping[str, str] | None = None,
     names: Mapping[str, str] | None = None,
     threshold: float = 0.9,
+    long_text: str | None = None,
 ) -> DataFrame:
     """One row per distinct non-null ``value``: (``value``, ``ref_id``, ``score``); null id where it means no entry.
 
     ``words`` says what words stand for ("": nothing by themselves), ``names`` gives further whole names of entries by
-    their text. The reference may be of any size. Among entries of equal score the smaller id is taken. Blank values and
-    values of unweighted words alone mean no entry; so does everything if the reference is empty. Distinct values, their
-    tokens and the reference's index are kept in the checkpoint folder, as each is read several times.
+    their text, and ``long_text`` a column of longer names, whose words are learnt (``words`` goes before). The reference may
+    be of any size. Among entries of equal score the smaller id is taken. Blank values and values of unweighted words alone
+    mean no entry; so does everything if the reference is empty. ``score`` is that of the best entry that might reach the
+    threshold, else 0. Distinct values, their tokens and the vocabulary are kept in the checkpoint folder, as each is read
+    several times.
     """
     spark = values.sparkSession
     words, names = dict(words or {}), dict(names or {})
@@ -134,19 +171,19 @@ def map_to_reference(
     entries = reference.select(F.col(ref_id).alias("id"), F.col(ref_text).alias("text")).dropna().distinct()
     more = spark.createDataFrame([(k, v) for k, v in names.items()] or [("", "")], "name string, text string").filter("name <> ''")
     listed = entries.select("id", "text", F.col("text").alias("name")).unionByName(entries.join(more, "text").select("id", "text", "name"))
-    listed = listed.select("id", "name", _tokens("name").alias("tokens"))
-    listed = durable(listed)
+    listed = durable(listed.select("id", "name", _tokens("name").alias("tokens")))
     bag_of = listed.select("id", "name", F.explode(F.array_distinct("tokens")).alias("meaning"))
-    n = entries.count()
-    rarity = bag_of.groupBy("meaning").agg(F.count_distinct("id").alias("df")).select("meaning", F.log(1 + n / F.col("df")).alias("idf"))
-    index = bag_of.join(rarity, "meaning")
-    norms = index.groupBy("id", "name").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("entry_norm"))
-    index = durable(index.join(norms, ["id", "name"]))
-    rarity = index.select("meaning", "idf").distinct()
-    # Vocabulary: the entries' own tokens, the words given, and entries written in one (their letters without blanks).
+    n = listed.select("id").distinct().count()
+    rarity = durable(bag_of.groupBy("meaning").agg(F.count_distinct("id").alias("df")).select("meaning", F.log(1 + n / F.col("df")).alias("idf")))
+    index = _weighed(bag_of.join(rarity, "meaning"), ["id", "name"], threshold)
+    # Vocabulary: the entries' own tokens, the words given, the words of longer names.
     given = spark.createDataFrame([(k, v) for k, v in words.items()] or [("", "")], "word string, meaning string").filter("word <> ''")
-    own = bag_of.select(F.col("meaning").alias("word"), "meaning").distinct().join(given, "word", "left_anti")
-    vocabulary = durable(own.unionByName(given))
+    own = rarity.select(F.col("meaning").alias("word"), "meaning").join(given, "word", "left_anti")
+    vocabulary = own.unionByName(given)
+    if long_text is not None:
+        learnt = words_of_names(reference, ref_text, long_text)
+        vocabulary = vocabulary.unionByName(learnt.join(vocabulary, "word", "left_anti"))
+    vocabulary = durable(vocabulary)
     joined = listed.select(F.filter("tokens", lambda t: t.rlike(r"^\p{L}+$")).alias("parts"))
     joined = joined.filter(F.size("parts") > 0).select(F.array_join("parts", "").alias("written"), "parts").dropDuplicates(["written"])
 
@@ -162,16 +199,18 @@ def map_to_reference(
     second = together.withColumn("closeness", F.lit(1.0)).unionByName(numbers).withColumn("way", F.lit(1))
     bag = plain.unionByName(second).groupBy("value", "way", "meaning").agg(F.max("closeness").alias("closeness"))
     strange = F.lit(math.log(n + 1.0))  # a token of no entry is as rare as can be
-    bag = durable(bag.join(rarity, "meaning", "left").withColumn("idf", F.coalesce("idf", strange)))
-    value_norm = bag.groupBy("value", "way").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("value_norm"))
-    scored = (
-        bag.drop("idf").join(index, "meaning")
-        .groupBy("value", "way", "id", "name").agg(F.sum(F.col("closeness") * F.col("idf") * F.col("idf")).alias("dot"), F.first("entry_norm").alias("entry_norm"))
-        .join(value_norm, ["value", "way"])
-        .withColumn("score", F.col("dot") / (F.col("entry_norm") * F.col("value_norm")))
-    )
+    bag = bag.join(rarity, "meaning", "left").withColumn("idf", F.coalesce("idf", strange))
+    asked = _weighed(bag, ["value", "way"], threshold).select("value", "tokens", "norm", F.explode("prefix").alias("meaning"))
+    offered = index.select("id", F.transform("tokens", lambda x: x["meaning"]).alias("has"), F.col("norm").alias("entry_norm"), F.explode("prefix").alias("meaning"))
+    shared = F.aggregate(F.filter("tokens", lambda x: F.array_contains("has", x["meaning"])), F.lit(0.0), lambda acc, x: acc + x["closeness"] * x["idf"] * x["idf"])
+    scored = asked.join(offered, "meaning").select("value", "id", (shared / (F.col("entry_norm") * F.col("norm"))).alias("score"))
     best = scored.groupBy("value", "id").agg(F.round(F.max("score"), 9).alias("score"))
-    w = Window.partitionBy("value").orderBy(F.desc("score"), "id")
-    top = best.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("value", "id", "score")
-    out = typed.select("value").join(top, "value", "left")
+    top = best.groupBy("value").agg(F.max_by(F.struct("id", "score"), F.struct(F.col("score"), -F.col("id"))).alias("t")) if dict(reference.dtypes)[ref_id] in _WHOLE else None
+    if top is None:
+        w = Window.partitionBy("value").orderBy(F.desc("score"), "id")
+        top = best.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("value", F.struct("id", "score").alias("t"))
+    out = typed.select("value").join(top.select("value", "t.id", "t.score"), "value", "left")
     return out.select("value", F.when(F.col("score") >= threshold, F.col("id")).alias(ref_id), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+_WHOLE = ("tinyint", "smallint", "int", "bigint")

@@ -2,11 +2,13 @@
 
 The normalised n-grams of the test items go out as one sorted array of hashes; each document's word windows are hashed
 in one sweep and looked up in it. Hits are verified against the items' words, so that a collision cannot report a leak.
-The array is broadcast only while its size is within a bound; beyond it documents and items meet by hash in a join.
+The arrays are broadcast only while their bytes are within a bound. Beyond it documents and items meet by hash in a join,
+to which a document brings only windows that pass a bitmap of the items' hashes, so that the corpus itself is not moved.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: Most n-grams that are broadcast (8 bytes each, and the items' words).
-BROADCAST_NGRAMS = 4_000_000
+#: Most bytes of items' arrays that are broadcast, and most bits of the bitmap (128 MB).
+BROADCAST_BYTES = 64 << 20
+BITMAP_BITS = 30
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,28 +49,53 @@ def window_hashes(tokens: list[str], n: int) -> np.ndarray:
 
 
 class Passages:
-    """The items' n-grams: sorted hashes, and under each hash where the n-gram stands."""
+    """The items' n-grams as arrays: sorted hashes, and beside each its item and first word; the items' words as one text each."""
 
     def __init__(self, items: list[tuple[int, str | None]], n: int) -> None:
         self.n = n
-        self.tokens = {i: [w for w, _, _ in words(t)] for i, t in items}
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, tokens in self.tokens.items():
-            for at, h in enumerate(window_hashes(tokens, n).tolist()):
-                places[h].append((i, at))
-        self.places = dict(places)
-        self.hashes = np.sort(np.fromiter(places, np.uint64, len(places)))
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.texts: list[bytes] = []
+        self.starts: list[np.ndarray] = []
+        hashes, item, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for at, (_, t) in enumerate(items):
+            tokens = [w for w, _, _ in words(t)]
+            encoded = [w.encode() for w in tokens]
+            self.texts.append(b" ".join(encoded))
+            self.starts.append(np.cumsum([0, *(len(w) + 1 for w in encoded)]).astype(np.int32))
+            h = window_hashes(tokens, n)
+            hashes.append(h)
+            item.append(np.full(len(h), at, np.int32))
+            first.append(np.arange(len(h), dtype=np.int32))
+        self.hashes = np.concatenate(hashes)
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.item, self.first = self.hashes[order], np.concatenate(item)[order], np.concatenate(first)[order]
+
+    def parts(self) -> tuple:
+        """The arrays alone: what is broadcast must not need this package on the executors."""
+        return self.n, self.ids, self.texts, self.starts, self.hashes, self.item, self.first
+
+    @classmethod
+    def of(cls, parts: tuple) -> Passages:
+        made = cls.__new__(cls)
+        made.n, made.ids, made.texts, made.starts, made.hashes, made.item, made.first = parts
+        return made
 
     def hits(self, tokens: list[str]) -> list[tuple[int, int]]:
         """(item, first word) of every verified window of a document."""
         h = window_hashes(tokens, self.n)
         if not len(h) or not len(self.hashes):
             return []
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        at = np.searchsorted(self.hashes, h)
         found = []
-        for k in np.flatnonzero(self.hashes[at] == h).tolist():
-            run = tokens[k : k + self.n]
-            found += [(i, k) for i, p in self.places[int(h[k])] if self.tokens[i][p : p + self.n] == run]
+        for k in np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == h).tolist():
+            run = " ".join(tokens[k : k + self.n]).encode()
+            i = int(at[k])
+            while i < len(self.hashes) and self.hashes[i] == h[k]:
+                item, p = int(self.item[i]), int(self.first[i])
+                starts = self.starts[item]
+                if self.texts[item][starts[p] : starts[p + self.n] - 1] == run:
+                    found.append((int(self.ids[item]), k))
+                i += 1
         return found
 
 
@@ -87,7 +115,7 @@ _SPANS = "id bigint, item_id bigint, from_char int, to_char int, n_words int"
 
 def leaked_spans(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13,
-    broadcast_ngrams: int = BROADCAST_NGRAMS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per document, item and shared run of ``n`` words or more: (``doc_id``, ``item_id``, ``from_char``,
     ``to_char``, ``n_words``), characters of the canonically composed text.
@@ -97,12 +125,13 @@ def leaked_spans(
     """
     item_rows = items.select(F.col(item_id).cast("bigint"), F.col(item_text)).distinct()
     docs = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    bound = item_rows.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"] / 2  # a word and what parts it
-    if bound <= broadcast_ngrams:
-        shared = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in item_rows.collect()])
+    # A word and what parts it are two characters; per word 16 bytes of arrays and 4 of offsets, per character up to 4 of text.
+    letters = item_rows.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"]
+    if letters * 14 <= broadcast_bytes:
+        shared = documents.sparkSession.sparkContext.broadcast(Passages([tuple(r) for r in item_rows.collect()], n).parts())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            passages = Passages(shared.value, n)
+            passages = Passages.of(shared.value)
             for b in batches:
                 rows = []
                 for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
@@ -126,18 +155,51 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=list(names))
 
 
+def _bitmap(items: DataFrame, n: int, bits: int = BITMAP_BITS) -> tuple[bytes, int]:
+    """Which hashes the items have, as a bitmap over the hashes' first bits, and how many bits; 16 per n-gram, at most 2^bits.
+
+    Pages of 64 KB are made apart and put together by the driver, whatever the items' number.
+    """
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.concatenate([np.zeros(0, np.uint64), *(window_hashes([w for w, _, _ in words(t)], n) for t in b["text"].to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    hashes = items.select("text").mapInArrow(places, "h bigint").distinct()
+    count = hashes.count()
+    size = min(bits, max(20, math.ceil(math.log2(16 * count + 1))))
+    at = F.shiftrightunsigned("h", 64 - size)
+    pages = hashes.select(F.shiftright(at, 19).cast("int").alias("page"), at.bitwiseAND(F.lit((1 << 19) - 1)).cast("int").alias("bit")).distinct()
+
+    def page(t: pa.Table) -> pa.Table:
+        on = np.zeros(1 << 19, bool)
+        on[t["bit"].to_numpy()] = True
+        return pa.table({"page": t["page"].slice(0, 1), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    out = bytearray(1 << size - 3)
+    for r in pages.groupBy("page").applyInArrow(page, "page int, bits binary").toLocalIterator():
+        out[r["page"] << 16 : (r["page"] + 1) << 16] = r["bits"]
+    return bytes(out), size
+
+
 def _joined(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """The same where the items are too many to broadcast: windows meet by hash, runs are verified by their words."""
     schema = "id bigint, h bigint, run string, k int, from_char int, to_char int"
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(items, n))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, size = shared.value
+        bitmap = np.frombuffer(raw, np.uint8)
         for b in batches:
             rows = []
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 w = words(t)
                 tokens = [x for x, _, _ in w]
-                for k, h in enumerate(window_hashes(tokens, n).view(np.int64).tolist()):
-                    rows.append((i, h, " ".join(tokens[k : k + n]), k, w[k][1], w[k + n - 1][2]))
+                h = window_hashes(tokens, n)
+                at = (h >> np.uint64(64 - size)).astype(np.int64)
+                for k in np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                    rows.append((i, int(h[k : k + 1].view(np.int64)[0]), " ".join(tokens[k : k + n]), k, w[k][1], w[k + n - 1][2]))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "h", "run", "k", "from_char", "to_char"])

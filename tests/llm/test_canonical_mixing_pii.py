@@ -18,10 +18,47 @@ MEANT = {
 }
 
 
+PLACES = {"CS": "coronary sinus", "DD": "duodecapolar", "RA": "right atrium", "RV": "right ventricle", "HIS": "his bundle", "ABL": "ablation catheter"}
+PARTS = {"D": "distal", "M": "mid", "P": "proximal"}
+
+
+def _long(label):
+    place, _, part = label.partition(" ")
+    return f"{PLACES[place]} {PARTS.get(part, part)}" if part else f"surface lead {label}"
+
+
+def _reference(spark):
+    return spark.createDataFrame([(i + 1, x, "x", _long(x)) for i, x in enumerate(REFERENCE)], "label_id int, label string, value string, long string")
+
+
+def test_words_are_learnt_from_longer_names(spark):
+    got = {r["word"]: r["meaning"] for r in canonical.words_of_names(_reference(spark), "label", "long").collect()}
+    assert got == {
+        "CORONARY": "CS", "SINUS": "CS", "DUODECAPOLAR": "DD", "ATRIUM": "RA", "VENTRICLE": "RV", "RIGHT": "", "BUNDLE": "HIS", "ABLATION": "ABL", "CATHETER": "ABL", "DISTAL": "D", "MID": "M", "PROXIMAL": "P", "SURFACE": "", "LEAD": "",
+    }
+
+
+def test_only_rare_tokens_pair_and_none_is_lost(spark):
+    """A token that all entries share pairs nothing by itself; every entry at or above the threshold is found."""
+    r = random.Random(5)
+    names = [" ".join(["HOT", *r.sample(["ANNE", "BERT", "CORA", "DIRK", "EMMA", "FRED", "GRET", "HUGO"], r.randint(1, 3))]) for _ in range(40)]
+    ref = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "id int, text string")
+    typed = ["HOT", *{" ".join(r.sample(x.split(), r.randint(1, len(x.split())))) for x in names}]
+    out = {x["value"]: x for x in canonical.map_to_reference(spark.createDataFrame([(t,) for t in typed], "t string"), "t", ref, "id", "text").collect()}
+    df = {w: sum(w in x.split() for x in names) for x in names for w in x.split()}
+    weight = lambda ws: sum(math.log(1 + len(names) / df[w]) ** 2 for w in ws)
+    for t in typed:
+        score = {i: weight(set(t.split()) & set(x.split())) / math.sqrt(weight(t.split()) * weight(x.split())) for i, x in enumerate(names)}
+        best = max(score.values())
+        want = min(i for i, s in score.items() if abs(s - best) < 1e-8) if best >= 0.9 else None
+        assert out[t]["id"] == want, (t, want, out[t])
+    assert out["HOT"]["score"] == 0
+
+
 def test_labels(spark):
-    ref = spark.createDataFrame([(i + 1, x, "x") for i, x in enumerate(REFERENCE)], "label_id int, label string, value string")
+    ref = _reference(spark)
     values = spark.createDataFrame([(x, 1) for x in [*MEANT, *MEANT, None]], "typed string, label_id int")
-    out = canonical.map_to_reference(values, "typed", ref, "label_id", "label", canonical.CHANNEL_WORDS, canonical.CHANNEL_NAMES)
+    out = canonical.map_to_reference(values, "typed", ref, "label_id", "label", canonical.CHANNEL_WORDS, canonical.CHANNEL_NAMES, long_text="long")
     got = {r["value"]: REFERENCE[r["label_id"] - 1] if r["label_id"] else None for r in out.collect()}
     assert got == MEANT
     assert canonical.map_to_reference(values, "typed", ref.limit(0), "label_id", "label").filter("label_id is not null").count() == 0

@@ -64,24 +64,36 @@ def test_leaks_by_broadcast_and_by_join(spark, bound):
     items = [(1, ITEM), (2, ITEM_DE), (3, "too short to be found"), (4, None), (1, ITEM)]
     d = spark.createDataFrame([(i, t, "item") for i, t in docs.items()], "doc_id bigint, text string, item_id string")
     q = spark.createDataFrame(items, "item_id int, text string")
-    spans = leakage.leaked_spans(d, q, broadcast_ngrams=bound)
+    spans = leakage.leaked_spans(d, q, broadcast_bytes=bound)
     got = {(r["doc_id"], r["item_id"]) for r in spans.collect()}
     assert got == {(i, k) for i, t in docs.items() for k, x in items if _shared(t, x)} and {g[0] for g in got} == {1, 2, 3, 8, 9, 10, 11, 12}
     first = spans.filter("doc_id = 1").first()
     assert docs[1][first["from_char"] : first["to_char"]] == ITEM and first["n_words"] == len(w)
     clean = {r["doc_id"]: r for r in leakage.without_leaks(d, spans).collect()}
     assert len(clean) == len(docs) and clean[4]["clean_text"] == docs[4] and clean[11]["dropped"] and clean[10]["clean_text"].endswith("word [removed]") and clean[6]["clean_text"] is None
-    assert leakage.leaked_spans(d.limit(0), q, broadcast_ngrams=bound).count() == 0 and leakage.leaked_spans(d, q.limit(0), broadcast_ngrams=bound).count() == 0
+    assert leakage.leaked_spans(d.limit(0), q, broadcast_bytes=bound).count() == 0 and leakage.leaked_spans(d, q.limit(0), broadcast_bytes=bound).count() == 0
 
 
 def test_hash_collisions_are_not_leaks():
     p = leakage.Passages([(1, ITEM)], 13)
     other = [f"w{i}" for i in range(20)]
     p.hashes = np.sort(leakage.window_hashes(other, 13))  # as if every hash collided
-    p.places = {int(h): [(1, 0)] for h in p.hashes}
+    p.item, p.first = (np.zeros(len(p.hashes), np.int32) for _ in range(2))
     assert p.hits(other) == []
 
 
+def test_few_windows_pass_the_bitmap(spark):
+    """A bitmap of 16 bits an n-gram holds all of the items' hashes and few others."""
+    items = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(40))) for i in range(30)], "id bigint, text string")
+    raw, size = leakage._bitmap(items, 13)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+    for r in items.collect():
+        h = leakage.window_hashes([w for w, _, _ in leakage.words(r["text"])], 13)
+        assert bits[(h >> np.uint64(64 - size)).astype(np.int64)].all()
+    other = leakage.window_hashes([f"x{k}" for k in range(5000)], 13)
+    assert bits[(other >> np.uint64(64 - size)).astype(np.int64)].mean() < 0.1
+
+
 def test_random_texts_against_brute_force():
     r = random.Random(9)
     vocabulary = ["a", "b", "C", "ß", "é", "9"]
