@@ -34,13 +34,28 @@ def words(text: str | None) -> list[tuple[str, int, int]]:
     return [(m.group().casefold(), m.start(), m.end()) for m in WORD.finditer(unicodedata.normalize("NFC", text))]
 
 
-def window_hashes(tokens: list[str], n: int) -> np.ndarray:
+def plain_words(text: str | None) -> list[str]:
+    """The words alone; quicker, as most texts share nothing and need no places."""
+    return [w.casefold() for w in WORD.findall(unicodedata.normalize("NFC", text))] if text else []
+
+
+class _Hashes(dict):
+    """Hashes of words, kept for the words to come; forgotten when they are a million, so that memory is bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def window_hashes(tokens: list[str], n: int, known: _Hashes | None = None) -> np.ndarray:
     """A 64-bit hash of every run of ``n`` words, by one polynomial over the words' hashes."""
     m = len(tokens) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    cache: dict[str, int] = {}
-    h = np.fromiter((cache.get(t) or cache.setdefault(t, xxhash.xxh64_intdigest(t)) for t in tokens), np.uint64, len(tokens))
+    known = _Hashes() if known is None else known
+    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     out = np.zeros(m, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
@@ -53,6 +68,7 @@ class Passages:
 
     def __init__(self, items: list[tuple[int, str | None]], n: int) -> None:
         self.n = n
+        self.known = _Hashes()
         self.ids = np.array([i for i, _ in items], np.int64)
         self.texts: list[bytes] = []
         self.starts: list[np.ndarray] = []
@@ -78,11 +94,12 @@ class Passages:
     def of(cls, parts: tuple) -> Passages:
         made = cls.__new__(cls)
         made.n, made.ids, made.texts, made.starts, made.hashes, made.item, made.first = parts
+        made.known = _Hashes()
         return made
 
     def hits(self, tokens: list[str]) -> list[tuple[int, int]]:
         """(item, first word) of every verified window of a document."""
-        h = window_hashes(tokens, self.n)
+        h = window_hashes(tokens, self.n, self.known)
         if not len(h) or not len(self.hashes):
             return []
         at = np.searchsorted(self.hashes, h)
@@ -135,17 +152,20 @@ def leaked_spans(
             for b in batches:
                 rows = []
                 for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                    found = passages.hits(plain_words(t))
+                    if not found:
+                        continue
                     w = words(t)
                     by_item: dict[int, list[int]] = defaultdict(list)
-                    for item, k in passages.hits([x for x, _, _ in w]):
+                    for item, k in found:
                         by_item[item].append(k)
                     rows += [(i, item, w[a][1], w[z - 1][2], z - a) for item, ks in by_item.items() for a, z in _spans(ks, n)]
                 yield _batch(rows)
 
-        found = docs.mapInArrow(scan, _SPANS)
+        spans = docs.mapInArrow(scan, _SPANS)
     else:
-        found = _joined(docs, item_rows.toDF("id", "text"), n)
-    return found.select(F.col("id").alias(doc_id), F.col("item_id").alias("item_id"), "from_char", "to_char", "n_words")
+        spans = _joined(docs, item_rows.toDF("id", "text"), n)
+    return spans.select(F.col("id").alias(doc_id), F.col("item_id").alias("item_id"), "from_char", "to_char", "n_words")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -190,15 +210,16 @@ def _joined(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, size = shared.value
-        bitmap = np.frombuffer(raw, np.uint8)
+        bitmap, known = np.frombuffer(raw, np.uint8), _Hashes()
         for b in batches:
             rows = []
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                w = words(t)
-                tokens = [x for x, _, _ in w]
-                h = window_hashes(tokens, n)
+                tokens = plain_words(t)
+                h = window_hashes(tokens, n, known)
                 at = (h >> np.uint64(64 - size)).astype(np.int64)
-                for k in np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                passed = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist()
+                w = words(t) if passed else []
+                for k in passed:
                     rows.append((i, int(h[k : k + 1].view(np.int64)[0]), " ".join(tokens[k : k + n]), k, w[k][1], w[k + n - 1][2]))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
