@@ -226,6 +226,9 @@ WHERE scale IS NOT NULL AND (by_range IS NOT NULL OR per <> 1.0 OR (inverse AND
 P7_FITTED_SQL = f"""{_P7_SQL} SELECT DISTINCT record_id, number, 'mV' AS unit, CAST(round(adc_gain * 1000) AS BIGINT) AS gain_milli FROM y
 WHERE nameless AND p2 IS NULL AND by_range IS NULL AND adc_gain > 0 AND isfinite(adc_gain)"""
 
+P7_SCALES_SQL = f"""{_P7_SQL} SELECT DISTINCT record_id, number, CAST(round(CAST(scale AS DOUBLE) * 1000) AS BIGINT) AS gain_milli,
+CASE WHEN by_range IS NOT NULL THEN 'range' WHEN scale IS NULL THEN NULL WHEN nameless AND p2 IS NULL THEN 'fitted' ELSE 'stated' END AS basis, false AS uncertain FROM y"""
+
 QUERIES = {
     "p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_loaded": p3_loaded, "p5_found": p5_found, "p5_order": p5_order,
     "p6_found": p6_found, "p6_hampel": p6_hampel, "p7_found": p7_found, "p7_scales": p7_scales, "p7_fitted": p7_fitted,
@@ -233,5 +236,5 @@ QUERIES = {
 
 SQL = {
     "p2_found": P2_FOUND_SQL, "p2_periods": P2_PERIODS_SQL, "p3_found": P3_FOUND_SQL, "p3_loaded": P3_LOADED_SQL, "p5_found": P5_FOUND_SQL, "p5_order": P5_FOUND_SQL,
-    "p6_found": P6_FOUND_SQL, "p6_hampel": P6_HAMPEL_SQL, "p7_found": P7_FOUND_SQL, "p7_fitted": P7_FITTED_SQL,
+    "p6_found": P6_FOUND_SQL, "p6_hampel": P6_HAMPEL_SQL, "p7_found": P7_FOUND_SQL, "p7_fitted": P7_FITTED_SQL, "p7_scales": P7_SCALES_SQL,
 }

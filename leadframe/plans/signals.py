@@ -370,24 +370,26 @@ def unpivot_channels(spark: SparkSession, d: str) -> DataFrame:
 _USED = "u AS (SELECT record_id, replace(upper(label), '_', ' ') AS label, max_by(adc_gain, number) FILTER (adc_gain IS NOT NULL) AS gain, max_by(adc_baseline, number) FILTER (adc_baseline IS NOT NULL) AS base, max(storage_format) AS fmt FROM c GROUP BY ALL)"
 
 
-_HIGH = "CASE fmt WHEN 8 THEN 127 WHEN 80 THEN 127 WHEN 16 THEN 32767 WHEN 24 THEN 8388607 WHEN 32 THEN 2147483647 WHEN 212 THEN 2047 END"
+_HIGH = "CASE coalesce(fmt, 32) WHEN 8 THEN 127 WHEN 80 THEN 127 WHEN 16 THEN 32767 WHEN 24 THEN 8388607 WHEN 32 THEN 2147483647 WHEN 212 THEN 2047 END"
 
 
 def _scales(spark: SparkSession, d: str) -> DataFrame:
-    """By labels in standard form, as the SQL has it; ``llm.queries`` has the same queries with typed labels resolved."""
+    """By labels in standard form; ``llm.queries`` has the same queries with typed labels resolved."""
     return ch.scales(channels(spark, d))
 
 
-@query(f"WITH {_COUNTS}, {_C}, {_USED} SELECT v.record_id, v.sample, v.label, round((value - coalesce(base, 0)) / (CASE WHEN gain = 0 THEN 1 ELSE coalesce(gain, 200) END), 6) AS physical FROM v JOIN u USING (record_id, label)")
+@query(f"WITH {_COUNTS}, {_C}, {_USED} SELECT v.record_id, v.sample, v.label, round((value - coalesce(base, 0)) / (CASE WHEN gain = 0 THEN 1 ELSE coalesce(gain, 200) END), 6) AS physical FROM v LEFT JOIN u USING (record_id, label)")
 def digital_to_physical(spark: SparkSession, d: str) -> DataFrame:
-    s = counts(spark, d).join(_scales(spark, d), ["record_id", "label"])
+    """Every converter count in mV; a channel that no header label has in standard form has the default gain."""
+    s = counts(spark, d).join(_scales(spark, d), ["record_id", "label"], "left")
     return s.select("record_id", "sample", "label", F.round(ch.to_physical(F.col("value"), F.col("gain"), F.col("base")), 6).alias("physical"))
 
 
-@query(f"WITH {_G}, {_C}, {_USED} SELECT record_id, sample, label, CASE WHEN mv IS NOT NULL THEN CAST(greatest(least(round(mv * CASE WHEN gain = 0 THEN 1 ELSE coalesce(gain, 200) END + coalesce(base, 0)), {_HIGH}), -{_HIGH} - 1) AS INTEGER) END AS digital FROM g JOIN u USING (record_id, label)")
+@query(f"WITH {_G}, {_C}, {_USED} SELECT record_id, sample, label, CASE WHEN mv IS NOT NULL THEN CAST(greatest(least(round(mv * CASE WHEN gain = 0 THEN 1 ELSE coalesce(gain, 200) END + coalesce(base, 0)), {_HIGH}), -{_HIGH} - 1) AS INTEGER) END AS digital FROM g LEFT JOIN u USING (record_id, label)")
 def physical_to_digital_clamped(spark: SparkSession, d: str) -> DataFrame:
-    s = readings(spark, d).join(_scales(spark, d), ["record_id", "label"])
-    return s.select("record_id", "sample", "label", ch.to_digital(F.col("mv"), F.col("gain"), F.col("base"), F.col("fmt")).alias("digital"))
+    """Every reading as a count; a channel that no header label has in standard form has the default gain and the widest format."""
+    s = readings(spark, d).join(_scales(spark, d), ["record_id", "label"], "left")
+    return s.select("record_id", "sample", "label", ch.to_digital(F.col("mv"), F.col("gain"), F.col("base"), F.coalesce("fmt", F.lit(32))).alias("digital"))
 
 
 @query("SELECT DISTINCT record_id, sample, ii - i AS iii, -(i + ii) / 2 AS avr, i - ii / 2 AS avl, ii - i / 2 AS avf FROM signal_table WHERE i IS NOT NULL AND ii IS NOT NULL")
