@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadframe.functions.dims import annotation_dim
@@ -80,16 +80,17 @@ def waves_by_neighbour(annotations: DataFrame, keys: Sequence[str] = ("record_id
 def in_waves(signal: DataFrame, bounds: DataFrame, keys: Sequence[str] = ("record_id",), width: int = 512) -> DataFrame:
     """Add ``wave`` and ``beat`` to samples from onset (included) to offset; elsewhere null.
 
-    Both sides meet by key and range of samples, so that a long record is not one group. Where bounds overlap the one
-    with the latest onset, then the greatest name, stays.
+    Both sides meet by key and range of samples, so that a long record is not one group: the bounds that touch a range are one
+    array, in which each of its samples is looked up. Where bounds overlap the one with the latest onset, then the
+    greatest name, stays. Rows of the signal stay as they are, copies too.
     """
     b = bounds.filter(F.col("onset") < F.col("offset"))
     b = b.withColumn("_r", F.explode(F.sequence(F.floor(F.col("onset") / width), F.floor((F.col("offset") - 1) / width))))
-    s = signal.withColumn("_r", F.floor(F.col("sample") / width))
-    on = [s[k] == b[k] for k in (*keys, "_r")] + [(s["sample"] >= b["onset"]), (s["sample"] < b["offset"])]
-    hit = s.join(b, on, "left").select(*[s[c] for c in signal.columns], b["wave"], b["beat"], b["onset"])
-    best = F.max(F.struct(F.coalesce("onset", F.lit(-1)), "beat", "wave"))
-    return hit.groupBy(*signal.columns).agg(best.alias("_b")).select(*signal.columns, F.col("_b.wave").alias("wave"), F.col("_b.beat").alias("beat"))
+    b = b.groupBy(*keys, "_r").agg(F.collect_set(F.struct("onset", "beat", "wave", "offset")).alias("_bounds"))
+    s = signal.drop("wave", "beat").withColumn("_r", F.floor(F.col("sample") / width)).join(b, [*keys, "_r"], "left")
+    inside = F.filter("_bounds", lambda x: (x["onset"] <= F.col("sample")) & (F.col("sample") < x["offset"]))
+    s = s.withColumn("_b", F.array_max(inside))
+    return s.select(*(c for c in signal.columns if c not in ("wave", "beat")), F.col("_b.wave").alias("wave"), F.col("_b.beat").alias("beat"))
 
 
 def rhythm_windows(
@@ -150,8 +151,9 @@ def concat_windows(*parts: DataFrame, key: str = "record_id") -> DataFrame:
     """Windows of several tables, numbered anew within the record in order of table, onset and number."""
     tagged = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
     both = reduce(lambda a, b: a.unionByName(b), tagged)
-    w = Window.partitionBy(key).orderBy("_part", "onset", "window_id")
-    return both.withColumn("window_id", F.row_number().over(w)).drop("_part")
+    both = both.withColumn("_chunk", F.col("_part").cast("bigint") * (1 << 40) + F.floor(F.col("onset") / CHUNK))
+    out = running(both, [key], "_chunk", [F.col("_part"), F.col("onset"), F.col("window_id")], F.lit(1), "sum", "_new", inclusive=True)
+    return out.withColumn("window_id", F.col("_new").cast("int")).drop("_part", "_chunk", "_new")
 
 
 def peak_to_peak(signal: DataFrame, value: str = "mv", keys: Sequence[str] = ("record_id", "window_id", "label")) -> DataFrame:

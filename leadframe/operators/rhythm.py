@@ -128,7 +128,10 @@ def intervals_between(points: DataFrame, keys: Sequence[str] = ("record_id",), n
 
 
 def aberrant(points: DataFrame, keys: Sequence[str] = ("record_id",), share: float = 0.4) -> DataFrame:
-    """Intervals with ``median_rr`` of the key and ``is_aberrant``: further than ``share`` of the median from it; the first never."""
+    """Intervals with ``median_rr`` of the key and ``is_aberrant``: further than ``share`` of the median from it; the first never.
+
+    The median is exact, from counts by length: lengths are whole samples, so that a key of any size has few different ones.
+    """
     rr = intervals_between(points, keys)
     median = rr.groupBy(*keys).agg(F.median("rr").alias("median_rr"))
     return rr.join(median, list(keys)).withColumn("is_aberrant", F.coalesce(F.abs(F.col("rr") - F.col("median_rr")) > share * F.col("median_rr"), F.lit(False)))
@@ -141,7 +144,11 @@ def embedded(signal: DataFrame, m: int = 3, value: str = "mv", keys: Sequence[st
 
 
 def channel_stats(signal: DataFrame, value: str = "mv", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Per channel: readings, RMS, mean, sample deviation, thresholds, 99 % quantile, range, mean absolute value; nulls and nan left out."""
+    """Per channel: readings, RMS, mean, sample deviation, thresholds, 99 % quantile, range, mean absolute value; nulls, nan and infinities left out.
+
+    The quantile is exact, from counts by value: readings are converter counts over a gain, so that a channel of any length has at
+    most as many different ones as its converter has codes (65,536 of 16 bits).
+    """
     v = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value))
     return signal.groupBy(*keys).agg(
         F.count(v).alias("n"), F.sqrt(F.avg(v * v)).alias("rms"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"),

@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """Build or return a session. On a cluster the submitter's settings win; only UTC, AQE and Arrow are fixed here."""
+    """Build or return a session. On a cluster the submitter's settings win; only UTC, AQE, Arrow and the
+    removal of checkpoints that nothing refers to any more are fixed here."""
     b = SparkSession.builder.appName("leadframe")
     if master:
         b = b.master(master)
@@ -16,6 +17,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.python.filterPushdown.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

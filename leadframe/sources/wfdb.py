@@ -395,16 +395,21 @@ def write_records(signal: DataFrame, records: DataFrame, channels: DataFrame, fo
     files.make(folder)
     heads = _heads(records, channels).drop("samples")
     order = _numbered(signal, channels).join(channels.select("record_id", "number", "adc_gain", "adc_baseline"), ["record_id", "number"])
-    s = signal.select("record_id", "sample", F.coalesce("label", F.lit("")).alias("label"), "value").join(order, ["record_id", "label"])
+    s = signal.filter(F.col("sample").isNotNull()).select("record_id", "sample", F.coalesce("label", F.lit("")).alias("label"), "value").join(order, ["record_id", "label"])
     if units == "physical":
         gain = F.coalesce("adc_gain", F.lit(200.0))
         s = s.withColumn("value", F.col("value") * F.when(gain == 0, 1.0).otherwise(gain) + F.coalesce("adc_baseline", F.lit(0)))
     value = F.col("value").cast("double")
     whole = F.when(~F.isnan(value) & (F.abs(value) < 9e18), F.round(value)).cast("bigint")
-    frames = s.groupBy("record_id", "sample").agg(F.map_from_entries(F.collect_list(F.struct("number", whole.alias("v")))).alias("v"))
-    rows = frames.join(heads, "record_id").repartition("record_id").sortWithinPartitions("record_id", "sample")
+    frames = s.groupBy("record_id", "sample").agg(F.collect_list(F.struct("number", F.coalesce(whole, F.lit(0)).alias("v"))).alias("v"))
+    # The head of a record comes once, before its frames.
+    head = heads.select("record_id", F.lit(None).cast("int").alias("sample"), F.lit(None).cast("array<struct<number:int,v:bigint>>").alias("v"), F.to_json(F.struct(*heads.columns)).alias("head"))
+    rows = frames.withColumn("sample", F.col("sample").cast("int")).withColumn("head", F.lit(None).cast("string")).unionByName(head.join(frames.select("record_id").distinct(), "record_id", "left_semi"))
+    rows = rows.repartition("record_id").sortWithinPartitions("record_id", F.col("sample").asc_nulls_first())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
         state: dict = {}
 
         def close() -> list[tuple]:
@@ -412,9 +417,8 @@ def write_records(signal: DataFrame, records: DataFrame, channels: DataFrame, fo
                 return []
             state["f"].close()
             name = state["name"]
-            head = state["head"] | {"samples": state["n"]}
             chans = [x | {"file_name": f"{name}.dat"} for x in state["channels"]]
-            files.put(folder, f"{name}.hea", header_text(head, chans, state["extra"]).encode())
+            files.put(folder, f"{name}.hea", header_text(state["head"] | {"samples": state["n"]}, chans, state["extra"]).encode())
             done = [(name, f"{folder}/{name}.hea", state["n"])]
             state.clear()
             return done
@@ -422,27 +426,26 @@ def write_records(signal: DataFrame, records: DataFrame, channels: DataFrame, fo
         def batch(done: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())], names=["record_id", "path", "frames"])
 
-        def flush(pending: list) -> None:
-            if pending:
-                numbers = [x["number"] for x in state["channels"]]
-                counts = np.array([[v.get(n) or 0 for n in numbers] for v in pending], np.int64).reshape(len(pending), len(numbers))
-                state["f"].write(fmt.encode(counts, [x["storage_format"] for x in state["channels"]]))
-                state["n"] += len(pending)
-                pending.clear()
-
         for b in batches:
             done: list[tuple] = []
-            pending: list[dict] = []
-            for r in b.to_pylist():
-                if state.get("name") != r["record_id"]:
-                    if state:
-                        flush(pending)
+            heads_, cut = b["head"].to_pylist(), b["v"].offsets.to_numpy()
+            numbers, values = (b["v"].values.field(k).to_numpy() for k in ("number", "v"))
+            starts = [i for i, h in enumerate(heads_) if h is not None]
+            for i, z in zip([-1, *starts], [*starts, len(heads_)], strict=True):
+                if i >= 0:
                     done += close()
-                    head, chans, extra = _head_of(r | {"samples": None})
-                    state.update(name=r["record_id"], head=head, channels=chans, extra=extra, n=0, f=files.Aside(folder, f"{r['record_id']}.dat"))
-                pending.append(dict(r["v"]))
-            if state:
-                flush(pending)
+                    row = {"samples": None, "start_time": None, "info": None, "frequency": None} | json.loads(heads_[i])
+                    head_, chans, extra = _head_of(row)
+                    place = np.full(max(c["number"] for c in chans) + 1, -1)
+                    place[[c["number"] for c in chans]] = np.arange(len(chans))
+                    state.update(name=row["record_id"], head=head_, channels=chans, extra=extra, place=place, n=0, f=files.Aside(folder, f"{row['record_id']}.dat"))
+                a, n = i + 1, z - i - 1
+                if n:
+                    counts = np.zeros((n, len(state["channels"])), np.int64)
+                    own = slice(cut[a], cut[z])
+                    counts[np.repeat(np.arange(n), np.diff(cut[a : z + 1])), state["place"][numbers[own]]] = values[own]
+                    state["f"].write(fmt.encode(counts, [x["storage_format"] for x in state["channels"]]))
+                    state["n"] += n
             if done:
                 yield batch(done)
         end = close()
