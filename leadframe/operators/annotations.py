@@ -130,10 +130,12 @@ def rhythm_windows(
 
 
 def _in_windows(rows: DataFrame, windows: DataFrame, key: str, width: int) -> DataFrame:
-    w = windows.select(key, "window_id", "onset", "offset").withColumn("_r", F.explode(F.sequence(F.floor(F.col("onset") / width), F.floor(F.col("offset") / width))))
+    w = windows.select(F.col(key).alias("_key"), F.col("window_id").alias("_id"), F.col("onset").alias("_on"), F.col("offset").alias("_off"))
+    w = w.withColumn("_range", F.explode(F.sequence(F.floor(F.col("_on") / width), F.floor(F.col("_off") / width))))
     r = rows.withColumn("_r", F.floor(F.col("sample") / width))
-    on = [r[key] == w[key], r["_r"] == w["_r"], r["sample"].between(w["onset"], w["offset"])]
-    return r.join(w, on).select(*[r[c] for c in rows.columns], w["window_id"], w["onset"])
+    on = (F.col(key) == F.col("_key")) & (F.col("_r") == F.col("_range")) & F.col("sample").between(F.col("_on"), F.col("_off"))
+    kept = [c for c in rows.columns if c not in ("window_id", "onset")]
+    return r.join(w, on).select(*(f"`{c}`" for c in kept), F.col("_id").alias("window_id"), F.col("_on").alias("onset"))
 
 
 def window_signal(signal: DataFrame, windows: DataFrame, key: str = "record_id", width: int = 1024) -> DataFrame:

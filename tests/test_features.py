@@ -417,3 +417,48 @@ def test_greedy_choice_over_ranges(spark, width):
                 if not want or x - want[-1] >= step:
                     want.append(x)
             assert sorted(q["sample"] for q in got if q["record_id"] == k) == want
+
+
+def test_standardized_windows_may_stay_windows(spark):
+    rec, n = _recording(spark)
+    w = api.window(rec, onset_criteria={"type": "(", "number": 0}, offset_criteria={"type": ")", "number": 2}, reference_criteria={"type": "N"})
+    std = api.standardize_windows(w, 20, preserve_class=True)
+    assert api.is_windowed(std) and std.method == "standardized_time_normalize"
+    assert std.signal().count() == 20 * 3 * (n - 1) and std.source.channels.count() == 3 * (n - 1)
+    with pytest.warns(UserWarning):
+        lacking = api.standardize_windows(w, 20, align_feature="V", preserve_amplitude=False)
+    assert {tuple(r) for r in lacking.collect()} == {tuple(r) for r in api.standardize_windows(w, 20, preserve_amplitude=False).collect()}
+    with pytest.raises(ValueError):
+        api.standardize_windows(w, method="none")
+    with pytest.raises(TypeError):
+        api.standardize_windows(rec)
+
+
+def test_windows_are_numbered_on_over_tables_and_ranges(spark):
+    from leadframe.operators import annotations as ann
+
+    schema = "record_id string, window_id int, onset int, offset int"
+    a = spark.createDataFrame([("r", 1, 5, 9), ("r", 2, 70_000, 70_010), ("s", 1, 1, 2)], schema)
+    b = spark.createDataFrame([("r", 4, 200_000, 200_001), ("r", 3, 3, 4), ("r", 2, 3, 4)], schema)
+    got = sorted((r["record_id"], r["window_id"], r["onset"]) for r in ann.concat_windows(a, b).collect())
+    assert got == [("r", 1, 5), ("r", 2, 70_000), ("r", 3, 3), ("r", 4, 3), ("r", 5, 200_000), ("s", 1, 1)]
+
+
+def test_bounds_that_overlap_go_to_the_last_onset(spark):
+    from leadframe.operators import annotations as ann
+
+    s = spark.createDataFrame([("r", i) for i in range(0, 1200, 100)] + [("r", 100), ("q", 5)], "record_id string, sample int")
+    b = spark.createDataFrame([("r", "p", "p1", 0, 1000), ("r", "qrs", "qrs1", 300, 600), ("r", "t", "t1", 600, None)], "record_id string, wave string, beat string, onset int, offset int")
+    got = sorted((r["record_id"], r["sample"], r["beat"]) for r in ann.in_waves(s, b).collect() if r["beat"])
+    assert got == sorted([("r", i, "qrs1" if 300 <= i < 600 else "p1") for i in range(0, 1000, 100)] + [("r", 100, "p1")]) and ann.in_waves(s, b).count() == 14
+
+
+def test_headers_take_what_users_give(spark):
+    r, c = api.header_table(spark, ["I", "II"], "x", adc_zero=[1, 2], low_pass=30, high_pass=[250, 500], scale=-6, storage_format=[16, 24], info_strings={"note": ["a", 1]}, number_of_channels=0)
+    assert [(x["adc_baseline"], x["initial_value"], x["low_pass"], x["high_pass"], x["scale"], x["storage_format"]) for x in c.orderBy("number").collect()] == [(1, 1, 30, 250, -6, 16), (2, 2, 30, 500, -6, 24)]
+    assert r.first()["number_of_channels"] == 2 and [(x["key"], x["values"]) for x in r.first()["info"]] == [("note", ["a", "1"])]
+    with pytest.raises(ValueError):
+        api.header_table(spark, ["I"], info_strings={"": ["x"]})
+    s = api.signal_table(spark, [("ECG", [1.0]), ("ECG", [2.0]), ("ECG_1", [3.0])])
+    assert sorted((x["label"], x["value"]) for x in s.collect()) == [("ECG", 1.0), ("ECG_1", 3.0), ("ECG_2", 2.0)]
+    assert [x["color"] for x in ch.with_colors(c.select("record_id", "number", "label"), palette={"ECG": ["#000001", "#000002"]}).orderBy("number").collect()] == ["#000001", "#000002"]
