@@ -118,3 +118,25 @@ def test_stated_convention_decides_at_any_size(spark, n):
     rows = known + [(300.0, None, None, None, None, None, None)] * n + [(0.3, None, None, None, None, None, None)]
     odd = units.counts_per_mv(_channels(spark, rows)).filter("adc_gain = 0.3").first()
     assert odd["unit"] == "mV" and abs(odd["scale_mv"] - 0.3) < 1e-9
+
+
+def test_a_convention_needs_no_fit(spark, monkeypatch):
+    """With a unit for rows that state none nothing is fitted and nothing runs; without one the mixture decides."""
+    def fitted(*_, **__):
+        raise AssertionError("fitted")
+
+    monkeypatch.setattr(units, "fit_shifted_mixture", fitted)
+    rows = [(g, "mV", None, None, None) for g in (200.0, 300.0)] * 20 + [(g, None, None, None, None) for g in (300.0, 0.3, 3e5)] + [(5.0, "mmHg", None, None, None), (None, None, None, 2048, "5 mV"), (-1.0, None, None, None, None)]
+    df, sc = _channels(spark, rows), spark.sparkContext
+    sc.setJobGroup("convention", "")
+    try:
+        ours = {u: units.counts_per_mv(df, default=u) for u in ("mV", "uV")}
+        assert not sc.statusTracker().getJobIdsForGroup("convention")
+    finally:
+        sc.setJobGroup("other", "")
+    for u, x in ours.items():
+        got = x.filter("number >= 40").orderBy("number").collect()
+        assert [(r["unit"], r["basis"], r["posterior"], r["uncertain"]) for r in got] == [(u, "fitted", 1.0, False)] * 3 + [(None, None, None, False), (None, "range", 1.0, False), (None, None, None, False)]
+        assert [r["scale_mv"] for r in got] == pytest.approx([g * units.PER_MV[u] for g in (300.0, 0.3, 3e5)] + [None, 409.6, None])
+    with pytest.raises(AssertionError, match="fitted"):
+        units.counts_per_mv(df, default=None)
