@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import zlib
 
 import numpy as np
@@ -385,6 +386,43 @@ def test_entropy_of_whole_channels(spark, tmp_path):
     assert [q["approximate_entropy"] for q in waveforms.approximate_entropy(few).orderBy("record_id").collect()] == [None, 0.0]
 
 
+@pytest.mark.parametrize("kind", ["noise", "steps", "smooth", "spikes", "flat"])
+def test_boxes_and_pairs_count_the_same(kind):
+    g = np.random.default_rng(11)
+    n = 900
+    x = {
+        "noise": g.normal(size=n), "steps": g.integers(0, 6, n) * 0.1, "smooth": np.convolve(g.normal(size=n + 49), np.ones(50) / 50, "valid"),
+        "spikes": g.integers(-20, 20, n) * 0.005 + np.where(g.random(n) < 0.02, g.choice([-9.0, 0.4, 0.9, 9.0], n), 0), "flat": np.full(n, 0.7),
+    }[kind]
+    for m, r in ((3, 3.5 * x.std(ddof=1)), (2, 0.3), (1, 0.1), (4, 0.0)):
+        want = [dsp._pair_counts(x, k, r, 512) for k in (m, m + 1)]
+        assert all((a == b).all() for a, b in zip(dsp.near_counts(x, m, r), want, strict=True))
+        for parts in (1, 3):
+            made = [dsp.near_counts(x, m, r, 0, part, parts) for part in range(parts)]
+            assert all((np.sort(np.concatenate([c[j] for c in made])) == np.sort(want[j])).all() for j in (0, 1))
+
+
+def test_entropy_of_a_long_lead_is_not_quadratic():
+    """200,000 readings in steps of the converter with bad readings among them: all pairs would take minutes."""
+    g = np.random.default_rng(12)
+    t = np.arange(200_000)
+    x = np.round(0.1 * np.sin(t / 40) + np.where(t % 200 < 4, 0.9, 0) + g.normal(0, 0.02, len(t)), 2)
+    x[g.integers(0, len(t), 200)] = g.uniform(-30, 30, 200)
+    began = time.process_time()
+    some, more = dsp.near_counts(x, 3, 3.5 * x.std(ddof=1))
+    assert time.process_time() - began < 10 and len(some) == len(t) - 2 and len(more) == len(t) - 3
+    row = waveforms._entropy_rows(x, 3, None, 1 << 12, {})
+    assert {r["_parts"] for r in row[1:]} == {7}  # copies of the channel: the root of its 49 blocks
+
+
+def test_copies_of_a_reading_count_once(spark):
+    rows = [("r", "I", i, float(i % 3), 100.0) for i in range(40)]
+    df = spark.createDataFrame(rows + rows[:20], "record_id string, label string, sample int, mv double, frequency double")
+    x = np.array([v[3] for v in rows])
+    assert waveforms.approximate_entropy(df, 2, 0.5).first()["approximate_entropy"] == pytest.approx(dsp.approximate_entropy(x, 2, 0.5), abs=1e-12)
+    assert waveforms.dominant_frequency(df, 1.0, 50.0).first()["dominant_frequency"] == dsp.dominant_frequency(x, 100.0, 1.0, 50.0)
+
+
 def test_missing_readings_keep_their_place(spark):
     """Nan, infinite, null and impossible readings: nothing is compared with them, filters and sums read 0 there."""
     x = [0.0, 1.0, 0.5, math.nan, 2.0, 1.0, 99.0, 3.0, 0.0, None, 4.0, math.inf, 0.0]
