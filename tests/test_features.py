@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
+import subprocess
+import sys
 import time
 import zlib
 
@@ -74,6 +77,12 @@ def test_ica_reports_failure_and_tries_every_way(monkeypatch):
     assert np.allclose(dsp.cancel_ica(y, 1000), dsp.cancel_svd(y, 1000)) and tried == list(dsp.ICA_WAYS)
 
 
+def test_ica_does_not_hang_on_the_number_of_threads():
+    code = "import zlib; from leadframe.functions import dsp; from tests.test_features import _beats; print(repr(dsp.rms(dsp.atrial_signal(_beats(100, 150)[0], 100.0, 'ica', zlib.crc32(repr(('r', 'II')).encode()))[0])))"
+    made = [subprocess.run([sys.executable, "-c", code], env=os.environ | {"OMP_NUM_THREADS": k, "PYTHONPATH": os.getcwd()}, capture_output=True, text=True, check=True).stdout for k in ("1", "4")]
+    assert float(made[0]) == pytest.approx(float(made[1]), rel=1e-12) and float(made[0]) > 0
+
+
 def test_given_atrial_signals_are_measured_as_they_are():
     t = np.arange(4000) / 1000
     x = 0.5 * np.sin(2 * np.pi * 6 * t)
